@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, sharding
+from . import bpe, exact_dedup, langid, packing, quality, sharding
 from .common import read
 
 
@@ -15,6 +15,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -28,6 +32,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op5_packing, op6_byte_bpe, op8_sharding)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op4_language_id, op5_packing, op6_byte_bpe, op8_sharding, op10_quality)}
 
 SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL}
