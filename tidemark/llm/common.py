@@ -31,15 +31,17 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialized_at = path
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files behind a materialized table that nothing will read again."""
-    for spark, path in list(_written):
-        if any(f.startswith(path.removeprefix("file://")) or path in f for f in df.inputFiles()[:1]):
-            _delete(spark, path)
-            _written.remove((spark, path))
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of materialized tables that nothing will read again, as what was made of them is written."""
+    for df in tables:
+        entry = (df.sparkSession, df._materialized_at)
+        _delete(*entry)
+        _written.remove(entry)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

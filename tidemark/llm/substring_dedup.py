@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import materialize
+from .common import discard, materialize
 
 PATH_BASE, WINDOW_BASE = hashing.U(0xA24BAED4963EE407), hashing.U(0x9FB21C651E98DF25)
 
@@ -92,6 +92,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, kmer: int = 6, doc_id: str
     found = materialize(docs.select("doc_id", "text", "salt").mapInArrow(scan, "doc_id long, salt long, key long, whole long, at int, n int, twice boolean"), "paths")
     keys = materialize(found.groupBy("key").agg(F.count("*").alias("paths"), F.max("twice").alias("twice")).where("paths > 1 OR twice").select("key"), "keys")
     repeated = materialize(found.join(keys, "key"), "repeated")
+    discard(found, keys)
     nodes = repeated.groupBy("key", "whole", "n").agg(
         F.count("*").alias("uses"), F.max("twice").alias("twice"), F.min(F.struct("doc_id", "salt", "at")).alias("source")
     )
@@ -100,15 +101,17 @@ def remove_repeats(docs: DataFrame, width: int = 35, kmer: int = 6, doc_id: str
     branching = materialize(branching.where("nodes > 1 AND single > 0 OR twice").select("key"), "branching")
     same = repeated.join(nodes.where("uses > 1").select("key", "whole", "n"), ["key", "whole", "n"])
     none = F.lit(None).cast("long")
-    spans = same.select("doc_id", "salt", "at", "n", none.alias("key")).unionByName(
-        nodes.join(branching, "key").select("source.doc_id", "source.salt", "source.at", "n", "key")
+    # A branching path that is there once still has to be settled; one that is there more often only serves to compare.
+    settled = (F.col("uses") > 1).alias("settled")
+    spans = same.select("doc_id", "salt", "at", "n", none.alias("key"), F.lit(True).alias("settled")).unionByName(
+        nodes.join(branching, "key").select("source.doc_id", "source.salt", "source.at", "n", "key", settled)
     )
     # As many spans as a document has paths, at most; those of rows that are there twice are equal and count once.
-    spans = spans.groupBy("doc_id", "salt").agg(F.collect_set(F.struct("at", "n", "key")).alias("spans"))
+    spans = spans.groupBy("doc_id", "salt").agg(F.collect_set(F.struct("at", "n", "key", "settled")).alias("spans"))
     here = docs["doc_id"].eqNullSafe(spans["doc_id"]) & (docs["salt"] == spans["salt"])
     met = docs.join(spans, here, "left").select(docs["doc_id"], docs["salt"], docs["text"], spans["spans"])
 
-    span_type = "array<struct<at: int, n: int, key: long>>"
+    span_type = "array<struct<at: int, n: int>>"
     result = "doc_id long, salt long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
     def finish(text: str, gone: np.ndarray | None) -> tuple:
@@ -118,32 +121,34 @@ def remove_repeats(docs: DataFrame, width: int = 35, kmer: int = 6, doc_id: str
         return len(words), int(gone.sum()) if some else 0, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if kept_text else None
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents without branching paths are done; others go on with the windows of these."""
+        """Documents without branching paths to settle are done; others go on with their text. Windows of all branching paths go on."""
         for batch in batches:
             done, pending, windows = [], [], []
             for body, spans in zip(batch.column(2), batch.column(3), strict=True):
                 body, spans = body.as_py(), spans.as_py() or []
                 edges = [s for s in spans if s["key"] is not None]
-                if not edges:
-                    n_words = len(body.encode("utf-8", "surrogatepass").split()) if spans else 0
-                    gone = covered(n_words, *(np.array([s[k] for s in spans]) for k in ("at", "n")), width) if spans else None
-                    done.append(finish(body, gone))
+                windows.append(None)
+                if edges:
+                    data = np.frombuffer(body.encode("utf-8", "surrogatepass"), np.uint8)
+                    h = hashing.rolling(hashing.word_hashes(data, *hashing.words(data)), width, WINDOW_BASE).view(np.int64)
+                    windows[-1] = [{"key": s["key"], "at": s["at"] + i, "window": int(h[s["at"] + i])} for s in edges for i in range(s["n"])]
+                whole = [s for s in spans if s["key"] is None]
+                if all(s["settled"] for s in edges):
+                    n_words = len(body.encode("utf-8", "surrogatepass").split()) if whole else 0
+                    done.append(finish(body, covered(n_words, *(np.array([s[k] for s in whole]) for k in ("at", "n")), width) if whole else None))
                     pending.append((None, None))
-                    windows.append(None)
-                    continue
-                data = np.frombuffer(body.encode("utf-8", "surrogatepass"), np.uint8)
-                h = hashing.rolling(hashing.word_hashes(data, *hashing.words(data)), width, WINDOW_BASE).view(np.int64)
-                windows.append([{"key": s["key"], "at": s["at"] + i, "window": int(h[s["at"] + i])} for s in edges for i in range(s["n"])])
-                done.append((None, None, None, None))
-                pending.append((body, [s for s in spans if s["key"] is None]))
+                else:
+                    done.append((None, None, None, None))
+                    pending.append((body, [{"at": s["at"], "n": s["n"]} for s in whole]))
             columns = [batch.column(0), batch.column(1)]
             columns += [pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            ints = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("key", pa.int64())])
+            ints = pa.struct([("at", pa.int32()), ("n", pa.int32())])
             edge = pa.struct([("key", pa.int64()), ("at", pa.int32()), ("window", pa.int64())])
             columns += [pa.array([p[0] for p in pending], pa.string()), pa.array([p[1] for p in pending], pa.list_(ints)), pa.array(windows, pa.list_(edge))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "salt", "n_words", "n_removed", "kept_sha256", "kept_text", "text", "spans", "windows"])
 
     state = materialize(met.mapInArrow(compare, f"{result}, text string, spans {span_type}, windows array<struct<key: long, at: int, window: long>>"), "state")
+    discard(repeated, nodes, branching)
     edges = state.where("windows IS NOT NULL").select("doc_id", "salt", F.explode("windows").alias("w")).select("doc_id", "salt", "w.*")
     # Rows that are there twice have branching paths of the same source only; one of them counts.
     edges = edges.dropDuplicates(["doc_id", "salt", "at", "key"]) if shared_ids else edges
