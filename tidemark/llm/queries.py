@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, langid, packing, pii, quality, sharding, substring_dedup
+from . import ann, bpe, exact_dedup, jaccard_join, langid, packing, pii, quality, sharding, substring_dedup
 from .common import read
 
 
@@ -45,10 +45,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(read(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_neighbours, op3_pii, op4_language_id, op5_packing, op6_byte_bpe, op7_substring_dedup, op8_sharding, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_neighbours, op3_pii, op4_language_id, op5_packing, op6_byte_bpe, op7_substring_dedup, op8_sharding, op9_jaccard_join, op10_quality)}
 
 SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL}
