@@ -81,7 +81,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
         "text_sha256",
         F.size("recipe").alias("n_chunks"),
     )
-    stop = F.raise_error(F.concat(F.lit("two chunks share the identifier "), F.hex("id")))
+    # The error depends on the count, so no optimizer can look for it before chunks are counted.
+    stop = F.when(F.col("contents") > 1, F.raise_error(F.concat(F.lit("contents of the chunk identifier "), F.hex("id"), F.lit(": "), F.col("contents").cast("string"))))
     return found.unionByName(
         clashes.select(
             *(stop.cast(t).alias(c) for c, t in found.dtypes),
