@@ -94,7 +94,15 @@ def pieces(docs: DataFrame, vocabulary: str, room: int = 2048, end: int = 0, doc
 
 
 def combinations(counts: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths that go together, how often), so that every piece is in one sequence."""
+    """(lengths that go together, how often), so that every piece is in one sequence.
+
+    Gaps are filled by single lengths; by pairs too; by triples too. The plan with the fewest sequences is taken.
+    """
+    return min((fill(counts, room, most) for most in (3, 2, 1)), key=lambda plan: sum(times for _, times in plan))
+
+
+def fill(counts: dict[int, int], room: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan whose gaps are filled by up to ``most`` lengths exactly, the rest best fit."""
     left = np.zeros(room + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -134,7 +142,7 @@ def combinations(counts: dict[int, int], room: int) -> list[tuple[tuple[int, ...
     for length in range(room, 0, -1):
         if length == room and left[room]:
             use((room,))
-        for parts in (1, 2, 3):
+        for parts in range(1, most + 1):
             while left[length]:
                 left[length] -= 1
                 found = filling(room - length, min(length, room - length), parts) if room - length >= parts else None
