@@ -254,6 +254,27 @@ def test_neighbours(spark):
     assert ann.search(few, few.where("vec_id = 0"), 10).count() == 4 and ann.search(df.limit(0), df).count() == 0
 
 
+def recall(spark, x, k, settings):
+    """Share of the k best found, for every 20th vector, and the fewest that a query found."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for row in ann.search(df, df.where("vec_id % 20 = 0"), k, s=settings).collect():
+        got[row.query_id].add(row.vec_id)
+    hit = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:k].tolist()))
+    return hit / (k * len(range(0, len(x), 20))), min(len(got[q]) for q in range(0, len(x), 20))
+
+
+def test_neighbours_beyond_the_lists_looked_up(spark):
+    x = np.random.default_rng(2).normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    found, fewest = recall(spark, x, 20, ann.Settings(list_size=8, scanned=64))
+    assert found >= 0.99 and fewest == 20
+
+
 def test_pii_rules():
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     r = random.Random(4)

@@ -3,7 +3,10 @@
 A bounded sample gives centroids, trained so that lists come out about equally long. A graph over the centroids,
 small enough for memory, finds the nearest ones of a vector without looking at all. Every vector is put in the list
 of its nearest centroid and of others almost as near, so that those on a boundary are found from both sides. A
-query looks at the lists whose centroids are within a ratio of the nearest one's distance.
+query looks at the lists whose centroids are within a ratio of the nearest one's distance, as found by comparing it
+with all centroids. The ratio is widened until a sample of the queries, compared with all vectors, finds what it
+should; a query with more such lists than it is worth to look up is compared with all vectors instead,
+in blocks of queries that each pass over the table once.
 
 Equal vectors form one class that is indexed once, with its smallest ids; lists and queries meet in blocks of
 bounded size. For inner products, vectors get one more component that makes their lengths equal, which turns the
@@ -12,7 +15,7 @@ largest product into the smallest distance.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,6 +128,66 @@ def classes(x: DataFrame, ids: int, salt: int = 64) -> DataFrame:
     return few.groupBy("embedding").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, ids).alias("ids"))
 
 
+FOUND = pa.list_(pa.struct([("less", pa.float64()), ("vec_id", pa.int64())]))
+
+
+def nearest(v: np.ndarray, ids: list[list[int]], q: np.ndarray, k: int, at_once: int = 256) -> list[list[dict]]:
+    """The k best (negative product, id) for each row of q among the classes v with these ids, ascending."""
+    first, out = np.array([i[0] for i in ids]), []
+    for start in range(0, len(q), at_once):
+        for row in q[start : start + at_once] @ v.T:
+            if len(row) > k:
+                edge = np.partition(row, len(row) - k)[len(row) - k]
+                at = np.flatnonzero(row >= edge)
+            else:
+                at = np.arange(len(row))
+            at = at[np.lexsort((first[at], -row[at]))]
+            got = []
+            for i in at:
+                got += [(-row[i], m) for m in ids[i]]
+            out.append([{"less": a, "vec_id": b} for a, b in sorted(got)[:k]])
+    return out
+
+
+def scan(base: DataFrame, asked: DataFrame, k: int, dim: int, at_once: int) -> DataFrame:
+    """embedding, found: the k best of all classes for each row of asked, distinct vectors. A pass over base compares
+    about ``at_once`` of them, which go to all executors; nothing of base is shuffled."""
+    spark, kind = base.sparkSession, dict(base.dtypes)["embedding"]
+    parts = -(-asked.count() // at_once)
+    out = spark.createDataFrame([], f"embedding {kind}, found array<struct<less: double, vec_id: long>>")
+    for part in range(parts):
+        block = asked.where(F.pmod(F.xxhash64("embedding"), F.lit(parts)) == part).toArrow().column("embedding").combine_chunks()
+        sent = spark.sparkContext.broadcast(vectors(block, dim))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    found = nearest(vectors(batch.column(0), dim), batch.column(1).to_pylist(), sent.value, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int32()), pa.array(found, FOUND)], ["q", "found"])
+
+        met = base.select("embedding", "ids").mapInArrow(run, "q int, found array<struct<less: double, vec_id: long>>")
+        # Classes are disjoint over batches, so no id comes twice.
+        best = met.select("q", F.explode("found").alias("x")).groupBy("q").agg(F.slice(F.array_sort(F.collect_list("x")), 1, k).alias("found"))
+        names = spark.createDataFrame(pa.table({"q": pa.array(range(len(block)), pa.int32()), "embedding": block}))
+        out = out.unionByName(materialize(best.join(names, "q").select(F.col("embedding").cast(kind).alias("embedding"), "found"), "scanned"))
+        sent.destroy()
+    return out
+
+
+def widened(posted: DataFrame, truth: DataFrame, apart: Callable[[np.ndarray], np.ndarray], recall: float) -> float:
+    """The least ratio of squared distances within which queries of truth (embedding, found) reach this share of what they should."""
+    asked = truth.collect()
+    if not asked:
+        return 1.0
+    ids = truth.select(F.explode("found.vec_id").alias("id")).distinct()
+    lists: dict[int, list[int]] = {}
+    for r in posted.select("list", F.explode("ids").alias("id")).join(F.broadcast(ids), "id").collect():
+        lists.setdefault(r.id, []).append(r.list)
+    d = apart(np.array([r.embedding for r in asked], np.float64))
+    needed = [d[i, lists[f.vec_id]].min() / max(d[i].min(), 1e-12) for i, r in enumerate(asked) for f in r.found]
+    return float(np.quantile(needed, recall, method="higher"))
+
+
 @dataclass(frozen=True)
 class Settings:
     list_size: int = 128  #: distinct vectors a list is meant to have
@@ -133,10 +196,13 @@ class Settings:
     most_sampled: int = 131072
     copies: int = 4  #: lists that a boundary vector is in, at most; the nearest is always one of them
     near: float = 1.15  #: ratio of distances up to which a vector is in a further list
-    lists: int = 32  #: lists that a query may look at
-    ratio: float = 1.3  #: ratio of distances up to which it does
+    lists: int = 32  #: lists that a query looks up; with more within the ratio it is compared with all vectors
+    ratio: float = 1.3  #: ratio of distances up to which it does, at least
+    recall: float = 0.99  #: share of the neighbours of sampled queries that must be within the ratio; it is widened to that
+    tuned: int = 256  #: queries that are sampled for it
     least: int = 8  #: lists that it looks at in any case
     block: int = 4096  #: rows of a list, and queries of a list, that meet at once
+    scanned: int = 32768  #: queries that one pass over all vectors compares
 
 
 def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", s: Settings = Settings()) -> DataFrame:
@@ -167,7 +233,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id
     graph = Graph.build(centroids(lifted(np.array([r[0] for r in some], np.float64)), lists))
     del some
     shared = spark.sparkContext.broadcast(graph)
-    copies, near, beam_lists, ratio, least, block = s.copies, s.near, s.lists, s.ratio, s.least, s.block
+    copies, near, most, least, block = s.copies, s.near, s.lists, s.least, s.block
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,22 +244,29 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id
                 row, j = np.nonzero(ok)
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in part.columns), pa.array(found[row, j])], ["embedding", "ids", "list"])
 
-    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                v = vectors(part.column(0), dim)
-                v = v / np.maximum(np.sqrt((v * v).sum(1)), 1e-300)[:, None]
-                q = np.concatenate([v, np.zeros((len(v), 1))], 1).astype(np.float32)
-                found, d = shared.value.search(q, beam_lists, 2 * beam_lists)
-                ok = (d <= d[:, :1] * ratio**2 + 1e-12) | (np.arange(d.shape[1]) < least)
-                row, j = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(found[row, j])], ["embedding", "list"])
+    def apart(v: np.ndarray, graph: Graph) -> np.ndarray:
+        """Squared distances of queries, scaled to length 1, to all centroids."""
+        v = v / np.maximum(np.sqrt((v * v).sum(1)), 1e-300)[:, None]
+        return squared(np.concatenate([v, np.zeros((len(v), 1))], 1), graph.points)
 
     kind = dict(base.dtypes)["embedding"]
     posted = materialize(base.select("embedding", "ids").mapInArrow(index, f"embedding {kind}, ids array<long>, list long"), "lists")
     asked = usable(queries, vec_id, embedding).where(F.size("embedding") == dim).select("vec_id", F.col("embedding").cast(kind).alias("embedding"))
-    seeking = materialize(asked.select("embedding").distinct().mapInArrow(seek, f"embedding {kind}, list long"), "seeking")
+    asked = materialize(asked.distinct(), "asked")
+    each = materialize(asked.select("embedding").distinct(), "each")
+    wide = max(s.ratio**2, widened(posted, scan(base, each.orderBy(F.xxhash64("embedding")).limit(s.tuned), k + 1, dim, s.scanned), lambda v: apart(v, graph), s.recall))
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                d = apart(vectors(part.column(0), dim), shared.value)
+                first = min(least, d.shape[1])
+                ok = d <= np.maximum(d.min(1) * wide, np.partition(d, first - 1, 1)[:, first - 1])[:, None] + 1e-12
+                row, j = np.nonzero(ok & (ok.sum(1) <= most)[:, None])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(j)], ["embedding", "list"])
+
+    seeking = materialize(each.mapInArrow(seek, f"embedding {kind}, list long"), "seeking")
 
     # Blocks: at most most_lists rows say into how many parts each list and its queries fall.
     parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
@@ -204,33 +277,22 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id
     right = seeking.join(sizes, "list").select("list", every("n").alias("a"), own("m").alias("b"), "embedding")
 
     def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        schema = pa.schema([("embedding", asked.schema.field("embedding").type), ("found", pa.list_(pa.struct([("less", pa.float64()), ("vec_id", pa.int64())])))])
+        schema = pa.schema([("embedding", asked.schema.field("embedding").type), ("found", FOUND)])
         if not rows.num_rows or not asked.num_rows:
             return schema.empty_table()
         v, q = (vectors(t.column("embedding").combine_chunks(), dim) for t in (rows, asked))
-        ids = rows.column("ids").to_pylist()
-        first = np.array([i[0] for i in ids])
-        product, out = q @ v.T, []
-        for row in product:
-            if len(row) > k + 1:
-                edge = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
-                at = np.flatnonzero(row >= edge)
-            else:
-                at = np.arange(len(row))
-            at = at[np.lexsort((first[at], -row[at]))]
-            got = []
-            for i in at:
-                got += [(-row[i], m) for m in ids[i]]
-            out.append([{"less": a, "vec_id": b} for a, b in sorted(got)[: k + 1]])
-        return pa.Table.from_arrays([asked.column("embedding").combine_chunks(), pa.array(out, schema.field("found").type)], schema=schema)
+        out = nearest(v, rows.column("ids").to_pylist(), q, k + 1)
+        return pa.Table.from_arrays([asked.column("embedding").combine_chunks(), pa.array(out, FOUND)], schema=schema)
 
     key = ["list", "a", "b"]
     met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, f"embedding {kind}, found array<struct<less: double, vec_id: long>>")
     best = met.groupBy("embedding").agg(F.flatten(F.collect_list("found")).alias("found"))
     # A class met in several lists has the same product each time, up to rounding: its ids count once.
     best = best.select("embedding", F.explode("found").alias("x")).groupBy("embedding", "x.vec_id").agg(F.min("x.less").alias("less"))
-    best = best.groupBy("embedding").agg(F.slice(F.array_sort(F.collect_list(F.struct("less", "vec_id"))), 1, k + 1).alias("found"))
-    each = asked.distinct().join(materialize(best, "found"), "embedding").select(
+    found = materialize(best.groupBy("embedding").agg(F.slice(F.array_sort(F.collect_list(F.struct("less", "vec_id"))), 1, k + 1).alias("found")), "found")
+    rest = materialize(each.join(found, "embedding", "left_anti"), "rest")
+    found = found.unionByName(scan(base, rest, k + 1, dim, s.scanned))
+    each = asked.join(found, "embedding").select(
         F.col("vec_id").alias("query_id"), F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("vec_id")), 1, k).alias("found")
     )
     return each.select("query_id", F.posexplode("found").alias("at", "f")).select(
