@@ -275,6 +275,19 @@ def test_neighbours_beyond_the_lists_looked_up(spark):
     assert found >= 0.99 and fewest == 20
 
 
+@pytest.mark.parametrize("lengths", ["one long", "lognormal", "extreme"])
+def test_neighbours_of_uneven_lengths(spark, lengths):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(3000, 16)) + 3 * r.normal(size=(30, 16))[r.integers(0, 30, 3000)]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if lengths == "one long":
+        x[7] *= 10_000
+    else:
+        x *= np.exp(r.normal(size=3000) * (1 if lengths == "lognormal" else 20))[:, None]
+    found, fewest = recall(spark, x, 20, ann.Settings(list_size=16))
+    assert found >= 0.98 and fewest == 20
+
+
 def test_pii_rules():
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     r = random.Random(4)

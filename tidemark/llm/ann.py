@@ -10,7 +10,8 @@ in blocks of queries that each pass over the table once.
 
 Equal vectors form one class that is indexed once, with its smallest ids; lists and queries meet in blocks of
 bounded size. For inner products, vectors get one more component that makes their lengths equal, which turns the
-largest product into the smallest distance.
+largest product into the smallest distance. Vectors whose lengths are nearest to the same power of two are a band with
+centroids and lists of its own, so that long vectors don't press the short ones into one point.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ def centroids(sample: np.ndarray, lists: int, rounds: int = 10, seed: int = 3) -
     """k-means in which full lists repel: a list's excess over the mean adds to its distances."""
     r = np.random.default_rng(seed)
     lists = min(lists, len(sample))
-    out = sample[r.choice(len(sample), lists, replace=False)].astype(np.float32)
-    push = np.zeros(lists, np.float32)
+    out = sample[r.choice(len(sample), lists, replace=False)].astype(np.float64)
+    push = np.zeros(lists)
     for _ in range(rounds):
         near, size, sums, spread = np.empty(len(sample), np.int64), np.zeros(lists), np.zeros_like(out, np.float64), 0.0
         for at in range(0, len(sample), 4096):
@@ -45,8 +46,8 @@ def centroids(sample: np.ndarray, lists: int, rounds: int = 10, seed: int = 3) -
             spread += d.min(1).sum()
         size = np.bincount(near, minlength=lists)
         np.add.at(sums, near, sample)
-        out = np.where(size[:, None] > 0, sums / np.maximum(1, size)[:, None], sample[r.choice(len(sample), lists)]).astype(np.float32)
-        push = np.maximum(0, push + 0.2 * spread / len(sample) * (size / (len(sample) / lists) - 1).clip(-1, 2)).astype(np.float32)
+        out = np.where(size[:, None] > 0, sums / np.maximum(1, size)[:, None], sample[r.choice(len(sample), lists)])
+        push = np.maximum(0, push + 0.2 * spread / len(sample) * (size / (len(sample) / lists) - 1).clip(-1, 2))
     return out
 
 
@@ -108,6 +109,15 @@ def vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+#: Beyond these, lengths count as these.
+LENGTHS = (1e-150, 1e150)
+
+
+def bands(v: np.ndarray) -> np.ndarray:
+    """Of each vector, the power of two nearest to its length; lengths about 1 are one band."""
+    return np.rint(np.log2(np.sqrt((v * v).sum(1)).clip(*LENGTHS))).astype(int)
+
+
 def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """vec_id, embedding of the rows that take part: no nulls, finite, not zero, of the most frequent dimension."""
     x = df.select(df[vec_id].cast("long").alias("vec_id"), df[embedding].alias("embedding")).where(
@@ -174,7 +184,7 @@ def scan(base: DataFrame, asked: DataFrame, k: int, dim: int, at_once: int) -> D
     return out
 
 
-def widened(posted: DataFrame, truth: DataFrame, apart: Callable[[np.ndarray], np.ndarray], recall: float) -> float:
+def widened(posted: DataFrame, truth: DataFrame, far: Callable[[np.ndarray], np.ndarray], recall: float) -> float:
     """The least ratio of squared distances within which queries of truth (embedding, found) reach this share of what they should."""
     asked = truth.collect()
     if not asked:
@@ -183,8 +193,8 @@ def widened(posted: DataFrame, truth: DataFrame, apart: Callable[[np.ndarray], n
     lists: dict[int, list[int]] = {}
     for r in posted.select("list", F.explode("ids").alias("id")).join(F.broadcast(ids), "id").collect():
         lists.setdefault(r.id, []).append(r.list)
-    d = apart(np.array([r.embedding for r in asked], np.float64))
-    needed = [d[i, lists[f.vec_id]].min() / max(d[i].min(), 1e-12) for i, r in enumerate(asked) for f in r.found]
+    d = far(np.array([r.embedding for r in asked], np.float64))
+    needed = [d[i, lists[f.vec_id]].min() for i, r in enumerate(asked) for f in r.found]
     return float(np.quantile(needed, recall, method="higher"))
 
 
@@ -220,49 +230,67 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id
         return spark.createDataFrame([], result)
     dim = dims[0].dim
     base = materialize(classes(x.where(F.size("embedding") == dim).distinct(), k + 1), "classes")
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    about = base.agg(F.count("*").alias("n"), F.max(norm).alias("longest")).first()
-    lists, longest = max(1, min(s.most_lists, about.n // s.list_size)), float(about.longest)
-    some = base.select("embedding").orderBy(F.xxhash64("embedding")).limit(min(s.most_sampled, s.sampled * lists)).collect()
-
-    def lifted(v: np.ndarray) -> np.ndarray:
-        """Vectors, scaled to a ball of radius 1, on the sphere one dimension up."""
-        v = v / np.sqrt(longest)
-        return np.concatenate([v, np.sqrt(np.maximum(0, 1 - (v * v).sum(1)))[:, None]], 1).astype(np.float32)
-
-    graph = Graph.build(centroids(lifted(np.array([r[0] for r in some], np.float64)), lists))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
+    band = F.rint(F.log2(F.greatest(F.least(norm, F.lit(LENGTHS[1])), F.lit(LENGTHS[0])))).cast("int")
+    sizes = {r.band: r.n for r in base.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}
+    size = max(s.list_size, -(-sum(sizes.values()) // s.most_lists))
+    lists = sum(max(1, n // size) for n in sizes.values())
+    some = base.select("embedding").orderBy(F.xxhash64("embedding")).limit(min(s.most_sampled, s.sampled * lists)).toArrow()
+    some = vectors(some.column("embedding").combine_chunks(), dim)
+
+    def lifted(v: np.ndarray, band: int) -> np.ndarray:
+        """Vectors of a band, scaled to a ball of radius 1, on the sphere one dimension up."""
+        v = v / 2.0 ** (band + 0.5)
+        return np.concatenate([v, np.sqrt(np.maximum(0, 1 - (v * v).sum(1)))[:, None]], 1)
+
+    of_some, graphs, count = bands(some), {}, 0
+    for k_band, n in sorted(sizes.items()):
+        mine = some[of_some == k_band]
+        points = centroids(lifted(mine, k_band), max(1, n // size)) if len(mine) else np.zeros((1, dim + 1))
+        graphs[k_band] = (count, Graph.build(points))
+        count += len(points)
     del some
-    shared = spark.sparkContext.broadcast(graph)
+    shared = spark.sparkContext.broadcast(graphs)
+    known = np.array(sorted(graphs))
     copies, near, most, least, block = s.copies, s.near, s.lists, s.least, s.block
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                found, d = shared.value.search(lifted(vectors(part.column(0), dim)), copies)
-                ok = d <= d[:, :1] * near**2 + 1e-12
-                row, j = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in part.columns), pa.array(found[row, j])], ["embedding", "ids", "list"])
-
-    def apart(v: np.ndarray, graph: Graph) -> np.ndarray:
-        """Squared distances of queries, scaled to length 1, to all centroids."""
+                v = vectors(part.column(0), dim)
+                band = known[np.minimum(np.searchsorted(known, bands(v)), len(known) - 1)]
+                for b in np.unique(band):
+                    rows = np.flatnonzero(band == b)
+                    start, graph = shared.value[b]
+                    found, d = graph.search(lifted(v[rows], b), copies)
+                    row, j = np.nonzero(d <= d[:, :1] * near**2 + 1e-12)
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows[row])) for c in part.columns), pa.array(start + found[row, j])], ["embedding", "ids", "list"])
+
+    def apart(v: np.ndarray, graphs: dict[int, tuple[int, Graph]]) -> tuple[np.ndarray, np.ndarray]:
+        """Of queries, scaled to length 1, and all centroids: squared distances, over the least of the centroid's band, and products."""
         v = v / np.maximum(np.sqrt((v * v).sum(1)), 1e-300)[:, None]
-        return squared(np.concatenate([v, np.zeros((len(v), 1))], 1), graph.points)
+        far, product = [], []
+        for b, (_, graph) in sorted(graphs.items()):
+            d = squared(np.concatenate([v, np.zeros((len(v), 1))], 1), graph.points)
+            far.append(d / np.maximum(d.min(1), 1e-12)[:, None])
+            product.append(v @ graph.points[:, :-1].T * 2.0 ** (b + 0.5))
+        return np.concatenate(far, 1), np.concatenate(product, 1)
 
     kind = dict(base.dtypes)["embedding"]
     posted = materialize(base.select("embedding", "ids").mapInArrow(index, f"embedding {kind}, ids array<long>, list long"), "lists")
     asked = usable(queries, vec_id, embedding).where(F.size("embedding") == dim).select("vec_id", F.col("embedding").cast(kind).alias("embedding"))
     asked = materialize(asked.distinct(), "asked")
     each = materialize(asked.select("embedding").distinct(), "each")
-    wide = max(s.ratio**2, widened(posted, scan(base, each.orderBy(F.xxhash64("embedding")).limit(s.tuned), k + 1, dim, s.scanned), lambda v: apart(v, graph), s.recall))
+    wide = max(s.ratio**2, widened(posted, scan(base, each.orderBy(F.xxhash64("embedding")).limit(s.tuned), k + 1, dim, s.scanned), lambda v: apart(v, graphs)[0], s.recall))
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                d = apart(vectors(part.column(0), dim), shared.value)
-                first = min(least, d.shape[1])
-                ok = d <= np.maximum(d.min(1) * wide, np.partition(d, first - 1, 1)[:, first - 1])[:, None] + 1e-12
+                far, product = apart(vectors(part.column(0), dim), shared.value)
+                first = min(least, product.shape[1])
+                ok = (far <= wide + 1e-12) | (product >= -np.partition(-product, first - 1, 1)[:, first - 1 : first])
                 row, j = np.nonzero(ok & (ok.sum(1) <= most)[:, None])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(j)], ["embedding", "list"])
 
