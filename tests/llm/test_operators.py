@@ -345,6 +345,44 @@ def test_language_id(spark):
     assert langid.identify(nothing).count() == 0
 
 
+def test_language_id_of_many_scripts(spark):
+    """Forty languages in ten scripts, in fours that differ by rare letters alone; code lengths by the definition."""
+    r = random.Random(8)
+    starts = [0x61, 0x3B1, 0x430, 0x561, 0x5D0, 0x627, 0x905, 0x3042, 0x4E00, 0xAC00]
+
+    def say(script, own, n=40):
+        word = lambda: "".join(chr(starts[script] + r.randint(0, 9)) for _ in range(r.randint(2, 6)))
+        return " ".join(word() + (chr(starts[script] + 10 + own) if r.random() < 0.2 else "") for _ in range(n))
+
+    names = [(s, o) for s in range(10) for o in range(4)]
+    samples = {f"{s}{o}": [say(s, o) for _ in range(20)] for s, o in names}
+    trees = langid.fit(samples)
+    rows = [(s, o, say(s, o)) for s, o in names for _ in range(3)]
+    found = langid.code_lengths(trees, [t for *_, t in rows]).argmin(1)
+    assert [trees.languages[k] for k in found] == [f"{s}{o}" for s, o, _ in rows]
+
+    data = b"".join(map(langid.folded, samples["21"]))
+    counts = [defaultdict(Counter) for _ in range(4)]
+    for order in range(4):
+        for i in range(order, len(data)):
+            counts[order][data[i - order : i]][data[i]] += 1
+
+    def shares(context):
+        if context is None:
+            return [1 / 256] * 256
+        n, shorter = counts[len(context)].get(context, Counter()), shares(context[1:] if context else None)
+        if not n:
+            return shorter
+        mass, total = sum(shorter[b] for b in range(256) if b not in n), sum(n.values())
+        rest = total + len(n) if len(n) < 256 else total
+        return [n[b] / rest if b in n else len(n) / rest * shorter[b] / mass for b in range(256)]
+
+    text = say(2, 1, 8) + " 7 zß " + say(3, 0, 4)
+    coded = langid.folded(text)
+    want = -sum(np.log2(shares(coded[i - 3 : i])[coded[i]]) for i in range(3, len(coded)))
+    assert np.isclose(langid.code_lengths(trees, [text])[0][trees.languages.index("21")], want, rtol=1e-5)
+
+
 def test_quality(spark):
     r = random.Random(6)
     good = lambda: " ".join(r.choice(["alpha", "beta", "gamma", "delta."]) + str(r.randint(0, 9)) for _ in range(r.randint(20, 200)))

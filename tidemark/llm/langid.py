@@ -4,7 +4,8 @@ For each language, a tree of byte contexts up to three bytes long is learned onc
 byte is its share under the longest context that has seen it; leaving a context costs an escape, as likely as the
 context has distinct successors, and the shorter context then divides by what the longer one has ruled out, so
 the probabilities of each context add up to one and code lengths are exact. The language whose tree codes a text
-shortest is predicted. Code lengths of all contexts fit one table, as rare bytes share one symbol.
+shortest is predicted. All 256 bytes are told apart; only contexts and successors that were seen are stored, so trees
+are as large as what they were learned from, whatever the languages and their scripts.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from pyspark.sql import functions as F
 from .common import held_out
 
 ORDER = 3
-#: Entries of the table of code lengths, over all languages; more languages get fewer symbols.
-ENTRIES = 1 << 24
 #: Bytes that are scored at once.
 BLOCK = 1 << 19
 LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
@@ -37,50 +36,105 @@ def folded(text: str) -> bytes:
     return b" " * ORDER + text.lower().encode("utf-8", "surrogatepass")
 
 
+@dataclass
+class Level:
+    """The seen contexts of one length and their seen successors, as numbers of bytes (the first the highest), sorted."""
+
+    keys: np.ndarray  #: contexts with a successor
+    bits: np.ndarray  #: code lengths of these successors
+    contexts: np.ndarray
+    leave: np.ndarray  #: bits that a byte costs, besides its code length in the shorter context, where it wasn't seen
+
+
+def find(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of what in where, sorted, and whether it is there."""
+    at = np.minimum(np.searchsorted(where, what), max(0, len(where) - 1))
+    return at, where[at] == what if len(where) else np.zeros(len(what), bool)
+
+
+def grams(codes: np.ndarray, length: int) -> np.ndarray:
+    """Each run of so many bytes as a number."""
+    n = max(0, len(codes) - length + 1)
+    key = np.zeros(n, np.uint32)
+    for j in range(length):
+        key = key << np.uint32(8) | codes[j : n + j]
+    return key
+
+
+def tree(codes: np.ndarray) -> list[Level]:
+    """The levels of contexts of 0 to ORDER bytes. A successor's share of a context is its count over ``rest``."""
+    levels, keys_below, n_below = [], np.arange(256, dtype=np.uint32), np.ones(256, np.int64)
+    contexts_below, rest_below = np.zeros(1, np.uint32), np.full(1, 256)  # order -1: all bytes alike
+    for order in range(ORDER + 1):
+        keys, n = np.unique(grams(codes, order + 1), return_counts=True)
+        contexts, first, distinct = np.unique(keys >> np.uint32(8), return_index=True, return_counts=True)
+        total = np.add.reduceat(n, first) if len(n) else n
+        # What was seen after a context was seen after the shorter one, so the share of the others there is a count, too.
+        cut = np.uint32((1 << 8 * max(1, order)) - 1)
+        taken = n_below[find(keys_below, keys & cut)[0]]
+        taken = np.add.reduceat(taken, first) if len(n) else taken
+        whole = rest_below[find(contexts_below, contexts & (cut >> np.uint32(8)))[0]]
+        left = whole - taken
+        rest = np.where(left > 0, total + distinct, total)
+        leave = np.where(left > 0, np.log2(np.maximum(1, left) / whole) - np.log2(distinct / np.maximum(1, rest)), np.inf)
+        bits = np.log2(np.repeat(rest, distinct) / n)
+        levels.append(Level(keys, bits.astype(np.float32), contexts, leave.astype(np.float32)))
+        keys_below, n_below, contexts_below, rest_below = keys, n, contexts, rest
+    return levels
+
+
 @dataclass
 class Trees:
     languages: list[str]
-    symbol: np.ndarray  #: of each byte
-    bits: np.ndarray  #: code length by context and symbol, and language
+    levels: list[list[Level]]  #: of each language
+
+    def lengths(self, keys: np.ndarray) -> np.ndarray:
+        """Code length of the last of four bytes after the others, by language."""
+        out = np.zeros((len(keys), len(self.languages)), np.float32)
+        for k, levels in enumerate(self.levels):
+            todo = np.arange(len(keys))
+            for order in range(ORDER, -1, -1):
+                level, key = levels[order], keys[todo] & np.uint32((1 << 8 * (order + 1)) - 1)
+                at, seen = find(level.keys, key)
+                out[todo[seen], k] += level.bits[at[seen]]
+                todo, key = todo[~seen], key[~seen] >> np.uint32(8)
+                at, seen = find(level.contexts, key)
+                out[todo[seen], k] += level.leave[at[seen]]
+            out[todo, k] += 8
+        return out
+
+    @property
+    def symbol(self) -> np.ndarray:
+        """Of each byte, its place among those seen in any language; all others, which no tree tells apart, share the last."""
+        seen = np.unique(np.concatenate([levels[0].keys for levels in self.levels])) if self.levels else np.zeros(0, int)
+        out = np.full(256, len(seen), np.int32)
+        out[seen] = np.arange(len(seen))
+        return out
 
     @property
     def symbols(self) -> int:
-        return round(len(self.bits) ** (1 / (ORDER + 1)))
+        return int(self.symbol.max()) + 1
+
+    @property
+    def bits(self) -> np.ndarray:
+        """The table of all contexts' code lengths by symbol, and language: to look at trees of few symbols, not for scoring."""
+        symbol = self.symbol
+        _, byte, n = np.unique(symbol, return_index=True, return_counts=True)
+        key = np.zeros(1, np.uint32)
+        for _ in range(ORDER + 1):
+            key = (key[:, None] << np.uint32(8) | byte.astype(np.uint32)).reshape(-1)
+        return self.lengths(key) - np.log2(np.tile(n, len(key) // len(n)))[:, None]
 
 
 def fit(samples: dict[str, list[str]]) -> Trees:
     """Trees from texts by language. Languages are in order of their names."""
     languages = sorted(samples)
-    data = {k: np.frombuffer(b"".join(map(folded, samples[k])), np.uint8) for k in languages}
-    size = min(64, int((ENTRIES / max(1, len(languages))) ** (1 / (ORDER + 1)) + 1e-9))
-    seen = sum((np.bincount(x, minlength=256) / max(1, len(x)) for x in data.values()), np.zeros(256))
-    own = np.argsort(-seen, kind="stable")[: size - 1]
-    symbol = np.full(256, size - 1, np.int32)
-    symbol[own] = np.arange(len(own))
-    bits = np.empty((size ** (ORDER + 1), len(languages)), np.float32)
-    for k, name in enumerate(languages):
-        codes = symbol[data[name]]
-        p = np.full(size, 1 / 256)  # order -1: all bytes alike; the last symbol stands for all that have none
-        p[-1] = 1 - p[:-1].sum()
-        for order in range(ORDER + 1):
-            key = np.zeros(max(0, len(codes) - order), np.int64)
-            for j in range(order + 1):
-                key = key * size + codes[j : len(codes) - order + j]
-            n = np.bincount(key, minlength=size ** (order + 1)).reshape(-1, size)
-            total, distinct = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-            shorter = np.tile(p.reshape(-1, size), (len(n) // max(1, p.size // size), 1))
-            unseen = np.where(n > 0, 0, shorter)
-            open_mass = unseen.sum(1, keepdims=True)
-            escape = np.where(open_mass > 0, np.where(total > 0, distinct / np.maximum(1, total + distinct), 1), 0)
-            rest = np.where(open_mass > 0, total + distinct, np.maximum(total, 1))
-            p = np.where(n > 0, n / np.maximum(1, rest), unseen / np.where(open_mass > 0, open_mass, 1) * escape)
-        bits[:, k] = -np.log2(p.reshape(-1))
-    return Trees(languages, symbol, bits)
+    return Trees(languages, [tree(np.frombuffer(b"".join(map(folded, samples[k])), np.uint8)) for k in languages])
 
 
 def code_lengths(trees: Trees, texts: list[str]) -> np.ndarray:
     """Bits of each text under each language."""
-    size, out = trees.symbols, np.zeros((len(texts), len(trees.languages)))
+    out = np.zeros((len(texts), len(trees.languages)))
     coded = [folded(t) for t in texts]
     row = 0
     while row < len(coded):
@@ -88,16 +142,13 @@ def code_lengths(trees: Trees, texts: list[str]) -> np.ndarray:
         while last < len(coded) and (last == row or n + len(coded[last]) <= BLOCK):
             n += len(coded[last])
             last += 1
-        codes = trees.symbol[np.frombuffer(b"".join(coded[row:last]), np.uint8)]
+        codes = np.frombuffer(b"".join(coded[row:last]), np.uint8)
         first = np.concatenate([[0], np.cumsum([len(x) for x in coded[row:last]])])
         for at in range(0, len(codes) - ORDER, BLOCK):  # a long text in several steps
             part = codes[at : at + BLOCK + ORDER]
             n = len(part) - ORDER
-            key = part[:n].astype(np.int64)
-            for j in range(1, ORDER + 1):
-                key *= size
-                key += part[j : n + j]
-            bits = trees.bits[key]
+            keys, at_key = np.unique(grams(part, ORDER + 1), return_inverse=True)
+            bits = trees.lengths(keys)[at_key]
             # a code at place i + ORDER is of the text that holds it; those of the leading spaces don't count
             for k in range(last - row):
                 lo, hi = max(first[k], at), min(first[k + 1] - ORDER, at + n)
