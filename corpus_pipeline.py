@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, near-duplicate groups, personal data, packing.
 
 Each stage takes what its predecessor kept, written as Parquet and read again, and returns the documents that it keeps
-with the columns of ``documents``; the last returns their packed pieces.
+with the columns of ``documents``; the last returns their packed pieces. Stages that drop documents number the rows
+first and decide by that number, as ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, jaccard_join, langid, packing, pii
-from tidemark.llm.common import materialize, read
+from tidemark.llm.common import keyed, materialize, read
 
 #: A language must have this share of the probability of all; with less, as with no letters at all, a document goes.
 CONFIDENCE = 0.5
@@ -19,9 +20,10 @@ CONFIDENCE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language. Rejected: no text, no letter, or no language more likely than the others together."""
-    found = materialize(langid.identify(docs).select(F.col("doc_id").alias("_id"), "lang_pred", "score"), "languages")
-    gone = found.where((F.col("lang_pred") == "und") | (F.col("score") < CONFIDENCE)).select("_id")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    rows = keyed(docs)
+    found = materialize(langid.predict(rows, langid.learned(rows), "_row").withColumnRenamed("doc_id", "_row"), "languages")
+    gone = found.where((F.col("lang_pred") == "und") | (F.col("score") < CONFIDENCE)).select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +32,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (80 % of five-word shingles), the document with the smallest id."""
-    gone = jaccard_join.link(docs).where("doc_id > component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    """Of each component of near duplicates (80 % of five-word shingles), one row: with the smallest id, null before all."""
+    rows = keyed(docs)
+    linked = jaccard_join.link(rows, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    linked = materialize(linked.join(rows.select("_row", "doc_id"), "_row"), "linked")
+    first = linked.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "_row")).alias("first"))
+    first = materialize(first.where("n > 1").select("component_id", F.col("first._row").alias("kept")), "first")
+    gone = linked.join(first, "component_id").where("_row <> kept").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -431,3 +431,26 @@ def test_pipeline(spark, tmp_path):
     assert not any("@" in (r.text or "") for r in docs.collect())
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.select("doc_id").distinct().count() == seen[-1]
+
+
+def test_pipeline_stages_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    say = lambda k, n=60: " ".join(f"word{k}x{i}" for i in range(n))
+    stages = dict(corpus_pipeline.STAGES)
+    rows = [(None, say(1)), (None, "12 !"), (None, say(2)), (5, say(3)), (5, "34 !"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "xx") for i, t in [*rows, *((100 + i, say(9)) for i in range(30))]], "doc_id long, text string, lang string")
+    kept = [(r.doc_id, r.text) for r in stages["language_id"](spark, docs, "").collect() if r.doc_id is None or r.doc_id < 100]
+    assert sorted(kept, key=str) == sorted([(None, say(1)), (None, say(2)), (5, say(3))], key=str)
+
+    rows = [(None, say(1)), (None, say(1)), (7, say(1)), (None, say(2)), (3, say(3)), (3, say(3)), (3, say(4)), (2, say(4) + " "), (8, say(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in stages["exact_dedup"](spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(None, say(1)), (None, say(2)), (3, say(3)), (2, say(4) + " ")], key=str)
+
+    rows = [(None, say(1)), (None, say(1) + " a"), (7, say(1) + " b"), (None, say(2)), (4, say(3)), (9, say(3) + " a"), (9, say(5)), (9, say(6)), (6, say(6) + " a"), (None, ""), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in stages["near_duplicates"](spark, docs, "").collect()]
+    firsts = [k for k in kept if k[0] is None and (k[1] or "").startswith(say(1))]
+    assert len(firsts) == 1
+    assert sorted(set(kept) - set(firsts), key=str) == sorted([(None, say(2)), (4, say(3)), (9, say(5)), (6, say(6) + " a"), (None, ""), (None, " ")], key=str)

@@ -36,6 +36,11 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """df, written and read back, with ``_row``: a number of each row that stays the same however often it is read."""
+    return materialize(df.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of materialized tables that nothing will read again, as what was made of them is written."""
     for df in tables:

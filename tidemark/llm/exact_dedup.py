@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import keyed, materialize
 
 #: The characters that don't count: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -91,9 +91,12 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that exact_dedup keeps, with all their columns."""
-    gone = exact_dedup(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone"]), "left_anti")
+    """Of each group of equal texts one row, that of exact_dedup's order, with all columns. Of rows that share an id and a
+    length too, any one; ids that are null or repeat for other texts don't matter."""
+    rows = keyed(docs)
+    found = exact_dedup(rows.select(F.struct(F.col(doc_id), "_row").alias("id"), F.col(text).alias("text")), "id", "text")
+    gone = found.where("not kept").select("doc_id._row")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 SQL = r"""

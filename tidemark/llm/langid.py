@@ -202,12 +202,14 @@ def predict(docs: DataFrame, trees: Trees, doc_id: str = "doc_id", text: str = "
     return docs.select(*columns).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def identify(docs: DataFrame, per_language: int = 400, longest: int = 50_000) -> DataFrame:
-    """doc_id, lang_pred, score, held_out. docs: doc_id, text, lang.
+def learned(docs: DataFrame, per_language: int = 400, longest: int = 50_000) -> Trees:
+    """Trees of the languages of docs (doc_id, text, lang), from rows whose crc32 of the id, modulo 3, is not 1 and that have
+    a lang, at most ``per_language`` of each."""
+    mine = ~held_out(F.col("doc_id"), 3, 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    return fit(sample(docs.where(mine).select("doc_id", "text", "lang"), per_language, longest))
 
-    Learns from rows whose crc32 of the id, modulo 3, is not 1 and that have a lang, at most ``per_language`` of each.
-    """
-    rest = held_out(F.col("doc_id"), 3, 1)
-    labelled = docs.where(~rest & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    trees = fit(sample(labelled, per_language, longest))
-    return predict(docs, trees).select("doc_id", rest.alias("held_out"), "lang_pred", "score")
+
+def identify(docs: DataFrame, per_language: int = 400, longest: int = 50_000) -> DataFrame:
+    """doc_id, lang_pred, score, held_out. docs: doc_id, text, lang. Learns from the rows that are not held out."""
+    trees = learned(docs, per_language, longest)
+    return predict(docs, trees).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
