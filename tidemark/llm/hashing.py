@@ -1,7 +1,8 @@
 """Words of UTF-8 buffers and their 64-bit hashes, in numpy.
 
-A word's hash is a polynomial over random numbers for its bytes, modulo 2**64 and mixed; sums from the start of
-the buffer give it for all words at once. Rolling hashes of word sequences are built the same way.
+A word's bytes go, eight at a time, through a keyed bijective mix; long words go to xxh3. Neither is a polynomial, so
+no repeated pattern of letters makes different words alike. Hashes of word sequences of one length are put together
+from those of halves. Each function takes a key; hashes under different keys tell nothing of each other.
 """
 
 from __future__ import annotations
@@ -10,30 +11,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-BASE, STEP = U(0x9E3779B97F4A7C15 | 1), U(0xD6E8FEB86659FD93 | 1)
-BYTES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=U)
+BASE, STEP = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+#: Keys of two independent hashes: one to bring things together, one to check that they are equal.
+FIRST, SECOND = U(0x8BB84B93962EACC9), U(0x2D358DCCAA6C78A5)
 #: Word ends are the bytes of white space: space and U+0009 to U+000D.
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 #: Bytes of text that are hashed at once, where single texts are no longer.
 BLOCK = 1 << 18
-
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse, for i below n at least."""
-    have = _powers.get(int(base))
-    if have is None or len(have[0]) < n:
-        size = max(BLOCK + 16, 1 << (n - 1).bit_length() if n > 1 else 1)
-        inverse = U(pow(int(base), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            have = tuple(np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(size - 1, b, U)])) for b in (base, inverse))
-        _powers[int(base)] = have
-    return have
+#: Longer words, in bytes, are hashed one by one.
+LONG = 256
+#: By number: so many bytes of eight.
+LEADING = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,25 +46,49 @@ def words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    up, down = powers(BASE, len(buffer) + 1)
-    sums = np.zeros(len(buffer) + 1, U)
-    np.cumsum(BYTES[buffer] * up[: len(buffer)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U) * STEP)
+def word_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.uint64 = FIRST) -> np.ndarray:
+    size = end - start
+    padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buffer) + 1, "<u8", padded.data, strides=(1,))  # from each byte on
+    h = mix(size.astype(U) * STEP + key)
+    live, at = np.flatnonzero(size <= LONG), 0
+    while len(live):
+        left = size[live] - at
+        h[live] = mix(h[live] ^ (eight[start[live] + at] & LEADING[np.minimum(left, 8)]) * BASE)
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(buffer[start[i] : end[i]].tobytes(), int(key))
+    return h
 
 
-def rolling(hashes: np.ndarray, width: int, base: np.uint64 = STEP) -> np.ndarray:
-    """The hash of each run of ``width`` hashes, by its first; empty if there are fewer."""
-    if len(hashes) < width:
-        return np.zeros(0, U)
-    return span_hashes(hashes, np.arange(len(hashes) - width + 1), np.arange(width, len(hashes) + 1), base)
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two after each other."""
+    return mix(a * STEP + (b ^ BASE))
 
 
-def span_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64 = STEP) -> np.ndarray:
-    up, down = powers(base, len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, U)
-    np.cumsum(mix(hashes + base) * up[: len(hashes)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U) * base)
+def rolling(hashes: np.ndarray, width: int, key: np.uint64 = FIRST) -> np.ndarray:
+    """The hash of each run of ``width`` hashes, by its first; empty if there are fewer."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    out, done, part, size = None, 0, mix(hashes + key), 1
+    while True:
+        if width & size:
+            piece = part[done : done + n]
+            out = piece if out is None else pair(out, piece)
+            done += size
+        if 2 * size > width:
+            return out
+        part, size = pair(part[:-size], part[size:]), 2 * size
+
+
+def sums(hashes: np.ndarray, begin: np.ndarray, key: np.uint64 = FIRST) -> np.ndarray:
+    """The hash of each sequence of hashes, all of them laid end to end, from where each begins."""
+    if not len(begin):
+        return np.zeros(0, U)
+    n = np.diff(np.append(begin, len(hashes)))
+    place = np.arange(len(hashes)) - np.repeat(begin, n)
+    return mix(np.add.reduceat(mix(hashes + place.astype(U) * STEP + key), begin) + n.astype(U) * BASE)
 
 
 def blocks(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -6,6 +6,10 @@ all that can be equal meets under one key, and one row stands for a whole path.
 nothing that repeats. Of the others, equal paths compact into one node by joins: all their windows repeat. Where
 different paths share a k-mer, that is, where the graph branches, one path of each kind is taken apart, from the text
 at its source coordinates, into single windows that are compared by themselves.
+
+What is taken for equal is looked up in the text at its source coordinates: a second hash, under another key and from
+the bytes on, must agree too. Windows are compared by both; should the second differ within a node, the query stops
+with an error.
 """
 
 from __future__ import annotations
@@ -21,9 +25,6 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import discard, materialize
 
-PATH_BASE, WINDOW_BASE = hashing.U(0xA24BAED4963EE407), hashing.U(0x9FB21C651E98DF25)
-
-
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     if len(x) < width:
         return x[:0]
@@ -50,14 +51,22 @@ def paths(buffer: np.ndarray, at: np.ndarray, width: int, kmer: int) -> tuple[np
     n = np.diff(np.append(begin, total))
     word = window[begin]
     run = np.repeat(np.arange(len(begin)), n)
-    inside = hashing.rolling(h, width, WINDOW_BASE)[window] ^ hashing.mix(run.astype(hashing.U))
+    own = hashing.rolling(h, width)[window]
+    inside = own ^ hashing.mix(run.astype(hashing.U))
     order = np.argsort(inside)
     twice = np.zeros(len(begin), bool)
     twice[run[order[1:][inside[order[1:]] == inside[order[:-1]]]]] = True
-    whole = hashing.span_hashes(h, word, word + n - 1 + width, PATH_BASE)
+    whole = hashing.sums(own, begin)
     return row[begin], least[begin].view(np.int64), whole.view(np.int64), word - first[row[begin]], n, twice
 
 
+def proofs(h: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The hash of each path of n windows from word at on, of a text whose windows have the hashes h."""
+    begin = np.cumsum(n) - n
+    window = np.repeat(at, n) + np.arange(int(n.sum())) - np.repeat(begin, n)
+    return hashing.sums(h[window], begin, hashing.SECOND).view(np.int64)
+
+
 def covered(n_words: int, at: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
     """Which words the windows cover, of paths of n windows from word at on."""
     edge = np.zeros(n_words + 1, np.int64)
@@ -103,11 +112,11 @@ def remove_repeats(docs: DataFrame, width: int = 35, kmer: int = 6, doc_id: str
     none = F.lit(None).cast("long")
     # A branching path that is there once still has to be settled; one that is there more often only serves to compare.
     settled = (F.col("uses") > 1).alias("settled")
-    spans = same.select("doc_id", "salt", "at", "n", none.alias("key"), F.lit(True).alias("settled")).unionByName(
-        nodes.join(branching, "key").select("source.doc_id", "source.salt", "source.at", "n", "key", settled)
+    spans = same.select("doc_id", "salt", "at", "n", none.alias("key"), F.lit(True).alias("settled"), F.xxhash64("key", "whole", "n").alias("path")).unionByName(
+        nodes.join(branching, "key").select("source.doc_id", "source.salt", "source.at", "n", "key", settled, none.alias("path"))
     )
     # As many spans as a document has paths, at most; those of rows that are there twice are equal and count once.
-    spans = spans.groupBy("doc_id", "salt").agg(F.collect_set(F.struct("at", "n", "key", "settled")).alias("spans"))
+    spans = spans.groupBy("doc_id", "salt").agg(F.collect_set(F.struct("at", "n", "key", "settled", "path")).alias("spans"))
     here = docs["doc_id"].eqNullSafe(spans["doc_id"]) & (docs["salt"] == spans["salt"])
     met = docs.join(spans, here, "left").select(docs["doc_id"], docs["salt"], docs["text"], spans["spans"])
 
@@ -123,16 +132,23 @@ def remove_repeats(docs: DataFrame, width: int = 35, kmer: int = 6, doc_id: str
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents without branching paths to settle are done; others go on with their text. Windows of all branching paths go on."""
         for batch in batches:
-            done, pending, windows = [], [], []
+            done, pending, windows, proven = [], [], [], []
             for body, spans in zip(batch.column(2), batch.column(3), strict=True):
                 body, spans = body.as_py(), spans.as_py() or []
-                edges = [s for s in spans if s["key"] is not None]
+                edges, whole = [s for s in spans if s["key"] is not None], [s for s in spans if s["key"] is None]
                 windows.append(None)
-                if edges:
+                proven.append(None)
+                if spans:
                     data = np.frombuffer(body.encode("utf-8", "surrogatepass"), np.uint8)
-                    h = hashing.rolling(hashing.word_hashes(data, *hashing.words(data)), width, WINDOW_BASE).view(np.int64)
-                    windows[-1] = [{"key": s["key"], "at": s["at"] + i, "window": int(h[s["at"] + i])} for s in edges for i in range(s["n"])]
-                whole = [s for s in spans if s["key"] is None]
+                    place = hashing.words(data)
+                    check = hashing.rolling(hashing.word_hashes(data, *place, hashing.SECOND), width, hashing.SECOND)
+                if edges:
+                    h = hashing.rolling(hashing.word_hashes(data, *place), width).view(np.int64)
+                    again = check.view(np.int64)
+                    windows[-1] = [{"key": s["key"], "at": s["at"] + i, "window": int(h[s["at"] + i]), "check": int(again[s["at"] + i])} for s in edges for i in range(s["n"])]
+                if whole:
+                    proof = proofs(check, *(np.array([s[k] for s in whole]) for k in ("at", "n")))
+                    proven[-1] = [{"path": s["path"], "proof": int(p)} for s, p in zip(whole, proof, strict=True)]
                 if all(s["settled"] for s in edges):
                     n_words = len(body.encode("utf-8", "surrogatepass").split()) if whole else 0
                     done.append(finish(body, covered(n_words, *(np.array([s[k] for s in whole]) for k in ("at", "n")), width) if whole else None))
@@ -143,17 +159,22 @@ def remove_repeats(docs: DataFrame, width: int = 35, kmer: int = 6, doc_id: str
             columns = [batch.column(0), batch.column(1)]
             columns += [pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
             ints = pa.struct([("at", pa.int32()), ("n", pa.int32())])
-            edge = pa.struct([("key", pa.int64()), ("at", pa.int32()), ("window", pa.int64())])
-            columns += [pa.array([p[0] for p in pending], pa.string()), pa.array([p[1] for p in pending], pa.list_(ints)), pa.array(windows, pa.list_(edge))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "salt", "n_words", "n_removed", "kept_sha256", "kept_text", "text", "spans", "windows"])
+            edge = pa.struct([("key", pa.int64()), ("at", pa.int32()), ("window", pa.int64()), ("check", pa.int64())])
+            proof = pa.struct([("path", pa.int64()), ("proof", pa.int64())])
+            columns += [pa.array([p[0] for p in pending], pa.string()), pa.array([p[1] for p in pending], pa.list_(ints)), pa.array(windows, pa.list_(edge)), pa.array(proven, pa.list_(proof))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "salt", "n_words", "n_removed", "kept_sha256", "kept_text", "text", "spans", "windows", "proven"])
 
-    state = materialize(met.mapInArrow(compare, f"{result}, text string, spans {span_type}, windows array<struct<key: long, at: int, window: long>>"), "state")
+    kinds = "windows array<struct<key: long, at: int, window: long, check: long>>, proven array<struct<path: long, proof: long>>"
+    state = materialize(met.mapInArrow(compare, f"{result}, text string, spans {span_type}, {kinds}"), "state")
     discard(repeated, nodes, branching)
+    told = state.select(F.explode("proven").alias("p")).groupBy("p.path").agg(F.min("p.proof").alias("a"), F.max("p.proof").alias("b")).where("a <> b")
+    stop = F.raise_error(F.concat(F.lit("different passages share the hash of a path: "), F.col("path").cast("string")))
     edges = state.where("windows IS NOT NULL").select("doc_id", "salt", F.explode("windows").alias("w")).select("doc_id", "salt", "w.*")
     # Rows that are there twice have branching paths of the same source only; one of them counts.
     edges = edges.dropDuplicates(["doc_id", "salt", "at", "key"]) if shared_ids else edges
-    again = materialize(edges.groupBy("key", "window").agg(F.count("*").alias("n")).where("n > 1").select("key", "window"), "again")
-    hits = edges.join(again, ["key", "window"]).groupBy("doc_id", "salt").agg(F.collect_set("at").alias("at"))
+    both = ["key", "window", "check"]
+    again = materialize(edges.groupBy(*both).agg(F.count("*").alias("n")).where("n > 1").select(*both), "again")
+    hits = edges.join(again, both).groupBy("doc_id", "salt").agg(F.collect_set("at").alias("at"))
     waiting = state.where("text IS NOT NULL").select("doc_id", "salt", "text", "spans")
     here = waiting["doc_id"].eqNullSafe(hits["doc_id"]) & (waiting["salt"] == hits["salt"])
     waiting = waiting.join(hits, here, "left").select(waiting["doc_id"], waiting["salt"], waiting["text"], waiting["spans"], hits["at"])
@@ -170,5 +191,6 @@ def remove_repeats(docs: DataFrame, width: int = 35, kmer: int = 6, doc_id: str
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "salt", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     finished = state.where("text IS NULL").select("doc_id", "salt", "n_words", "n_removed", "kept_sha256", "kept_text")
-    out = finished.unionByName(waiting.mapInArrow(settle, result))
+    stopped = told.select(*(F.when(F.col("a") != F.col("b"), stop).cast(t).alias(c) for c, t in finished.dtypes))
+    out = finished.unionByName(waiting.mapInArrow(settle, result)).unionByName(stopped)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * kept_text)
