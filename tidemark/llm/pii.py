@@ -3,16 +3,19 @@
 The rules find e-mail addresses, IPv4 addresses, card numbers and international phone numbers. The field labels
 words by their shapes (an address spelled out, a phone number without its plus sign, a bracketed IP address). It
 is trained from a small labelled table and decoded by Viterbi in numpy, many stretches at a time. A word without
-digit, "@" and cue is plain; the table teaches that plain words are no personal data, and decode() looks at
-stretches of REACH words around the others, beyond which labels are "O" whatever stands there.
+digit, "@" and cue is plain. Among plain words the field forgets what came before after a few words, however it came
+there; ``Field.settled`` says after how many, from the weights. So it is enough to decode stretches around the words
+that are not plain, with so many plain ones to either side: the labels are those that the whole text would get.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,10 +77,11 @@ def base_spans(text: str) -> list[Span]:
 LABELS = ("O", *KINDS)
 #: Words that cue an address spelled out.
 CUES = {"at", "(at)", "[at]", "dot", "(dot)", "[dot]"}
-TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]|\bat\b[^@]{1,60}?\bdot\b")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Words to either side of one that is not plain that are decoded with it.
-REACH = 4
+#: Any word that is not plain holds one of these.
+TRIGGER = re.compile(r"[0-9@]|(?<![^\W\d_])(?:[aA][tT]|[dD][oO][tT])(?![^\W\d_])")
+#: Neighbours to either side that a word's features tell of.
+SIGHT = 3
 
 
 def shape(word: str) -> str:
@@ -100,12 +104,14 @@ def describe(word: str) -> list[str]:
     return [f"shape={shape(bare)}", f"rough={rough}", f"digits={min(digits, 20)}", f"kinds={kinds}", f"long={len(bare) > 24}"]
 
 
-def features(words: list[str]) -> list[list[str]]:
-    """Of each word: its own and those of its neighbours to the third."""
-    own = [describe(w) for w in words]
-    blank = ["none"]
+def features(words: list[str], first: int = 0, end: int | None = None) -> list[list[str]]:
+    """Of each word from first to end: its own and those of its neighbours within SIGHT."""
+    end = len(words) if end is None else end
+    lo = max(0, first - SIGHT)
+    own, blank = [describe(w) for w in words[lo : end + SIGHT]], ["none"]
+    sides = [d for d in range(-SIGHT, SIGHT + 1) if d]
     return [
-        ["bias", *own[i], *(f"{d}:{x}" for d in (-3, -2, -1, 1, 2, 3) for x in (own[i + d] if 0 <= i + d < len(own) else blank)[:2])] for i in range(len(own))
+        ["bias", *own[i], *(f"{d}:{x}" for d in sides for x in (own[i + d] if 0 <= i + d < len(own) else blank)[:2])] for i in range(first - lo, end - lo)
     ]
 
 
@@ -117,14 +123,54 @@ class Field:
     emit: np.ndarray
     step: np.ndarray
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(LABELS)))
-        for i, f in enumerate(features(words)):
+    def scores(self, words: list[str], first: int = 0, end: int | None = None) -> np.ndarray:
+        found = features(words, first, end)
+        out = np.zeros((len(found), len(LABELS)))
+        for i, f in enumerate(found):
             out[i] = self.emit[[k for x in f if (k := self.index.get(x)) is not None]].sum(0)
         return out
 
-    def viterbi(self, stretches: list[np.ndarray]) -> list[np.ndarray]:
-        """The best labels of each stretch of word scores, all stretches of a batch at once."""
+    @cached_property
+    def settled(self) -> int | None:
+        """The number m of plain words among plain ones after which nothing that came before matters: whatever it was, the
+        best way to each label of the m-th word leads over "O" at the one before. None if there is no such number.
+
+        What a label is ahead of "O" lies between bounds after one word, whatever came before; each word narrows them.
+        """
+        emit, via = self.scores(["word"] * (2 * SIGHT + 1), SIGHT, SIGHT + 1)[0], self.step[1:]
+        emit = emit - emit[0]
+        gain = via - via[:, :1]
+        least, most = gain.min(0) + emit, gain.max(0) + emit
+        low, high = least, most
+        for m in range(2, 50):
+            if (high[1:, None] + via[1:] < via[0] - 1e-9).all():
+                return m
+            low, high = (
+                np.maximum(least, (low[:, None] + via).max(0) - (high[:, None] + via).max(0)[0] + emit),
+                np.minimum(most, (high[:, None] + via).max(0) - (low[:, None] + via).max(0)[0] + emit),
+            )
+        return None
+
+    @cached_property
+    def quiet(self) -> bool:
+        """Whether plain words by themselves are all "O", at the edges of a text and however few they are."""
+        return self.settled is not None and not any(self.viterbi([self.scores(["word"] * n)])[0].any() for n in range(1, 2 * (SIGHT + self.settled) + 5))
+
+    def stretches(self, n: int, odd: list[int]) -> list[tuple[int, int]]:
+        """(first, end) of the words of a text of n that must be decoded, if these are not plain; all others are "O"."""
+        if not self.quiet:
+            return [(0, n)] if n else []
+        m, out = self.settled, []
+        for o in odd:
+            lo, hi = o - SIGHT - m - 1, o + SIGHT + m
+            if out and lo <= out[-1][1]:
+                out[-1] = out[-1][0], hi
+            else:
+                out.append((lo, hi))
+        return [(lo if lo >= SIGHT + m else 0, hi if hi <= n - SIGHT - m - 1 else n) for lo, hi in out]
+
+    def viterbi(self, stretches: list[np.ndarray], cut: list[bool] | None = None) -> list[np.ndarray]:
+        """The best labels of each stretch of word scores, all stretches of a batch at once; of those cut off, with "O" last."""
         if not stretches:
             return []
         size = np.array([len(s) for s in stretches])
@@ -140,7 +186,7 @@ class Field:
             back[:, t] = np.where(on, via.argmax(1), np.arange(len(LABELS)))
             best = np.where(on, here, best)
         out = np.zeros((n, longest), np.int8)
-        out[:, -1] = best.argmax(1)
+        out[:, -1] = np.where(np.zeros(n, bool) if cut is None else cut, 0, best.argmax(1))
         for t in range(longest - 1, 0, -1):
             out[:, t - 1] = back[np.arange(n), t, out[:, t]]
         return [out[k, : size[k]] for k in range(n)]
@@ -247,29 +293,34 @@ def labelled_table(rows: int = 400, seed: int = 11) -> list[tuple[list[str], lis
     return table
 
 
+@lru_cache(1)
+def trained() -> Field:
+    """The field of the labelled table, trained once a process."""
+    return train(labelled_table())
+
+
 def decode(field: Field, texts: list[str]) -> list[list[Span]]:
-    """What the field labels in each text, trimmed of punctuation."""
-    owners, places, scores = [], [], []
+    """What the field labels in each text, as if it were decoded as a whole, trimmed of punctuation."""
+    owners, places, scores, cut = [], [], [], []
     for k, text in enumerate(texts):
-        if not TRIGGER.search(text):
+        hits = [m.start() for m in TRIGGER.finditer(text)]
+        if not hits and field.quiet:
             continue
-        words = [(m.start(), m.end()) for m in WORD.finditer(text)]
-        odd = [i for i, (a, b) in enumerate(words) if describe(text[a:b])[0] != "plain"]
-        at = 0
-        while at < len(odd):
-            last = at
-            while last + 1 < len(odd) and odd[last + 1] - odd[last] <= 2 * REACH:
-                last += 1
-            stretch = words[max(0, odd[at] - REACH) : odd[last] + REACH + 1]
+        words = [m.span() for m in WORD.finditer(text)]
+        starts = [a for a, _ in words]
+        near = sorted({bisect_right(starts, at) - 1 for at in hits})
+        odd = [i for i in near if describe(text[slice(*words[i])])[0] != "plain"]
+        for lo, hi in field.stretches(len(words), odd):
+            first = max(0, lo - SIGHT)
             owners.append(k)
-            places.append(stretch)
-            scores.append(field.scores([text[a:b] for a, b in stretch]))
-            at = last + 1
+            places.append(words[lo:hi])
+            scores.append(field.scores([text[a:b] for a, b in words[first : hi + SIGHT]], lo - first, hi - first))
+            cut.append(hi < len(words))
     out: list[list[Span]] = [[] for _ in texts]
     order = sorted(range(len(scores)), key=lambda i: len(scores[i]))  # stretches of about the same length together
     for lo in range(0, len(order), 512):
         part = order[lo : lo + 512]
-        for i, labels in zip(part, field.viterbi([scores[i] for i in part]), strict=True):
+        for i, labels in zip(part, field.viterbi([scores[i] for i in part], [cut[i] for i in part]), strict=True):
             k, at = owners[i], 0
             while at < len(labels):
                 last = at
@@ -316,7 +367,7 @@ def find(docs: DataFrame, field: Field | None = None, doc_id: str = "doc_id", te
     A null text counts as empty and has no spans. Places are code points, ends exclusive. Rows are looked at each on
     its own; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(field or train(labelled_table()))
+    shared = docs.sparkSession.sparkContext.broadcast(field or trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,7 +401,7 @@ def mask(docs: DataFrame, field: Field | None = None, text: str = "text") -> Dat
     """docs with personal data in ``text`` replaced; all columns and rows stay, null texts stay null."""
     from pyspark.sql.functions import pandas_udf
 
-    shared = docs.sparkSession.sparkContext.broadcast(field or train(labelled_table()))
+    shared = docs.sparkSession.sparkContext.broadcast(field or trained())
 
     @pandas_udf("string")
     def clean(column):
