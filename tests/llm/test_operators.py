@@ -88,7 +88,9 @@ def test_sharding(spark, docs, odd):
         data = (texts()[r.doc_id] or "").encode()
         assert (r.size, r.text_crc32) == (len(data) + 8, zlib.crc32(data))
     # the law as a simulation, key by key
-    cells = {r.doc_id: (r.cell, r.p) for r in docs.select("doc_id", F.xxhash64("doc_id").alias("p"), F.shiftrightunsigned(F.xxhash64("doc_id"), 56).alias("cell")).collect()}
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    part = F.pmod(F.xxhash64((F.octet_length(body).cast("long") + 8), F.crc32(body)), F.lit(sharding.PARTS)).alias("part")
+    cells = {r.doc_id: (r.cell, (r.part, r.p)) for r in docs.select("doc_id", part, F.xxhash64("doc_id").alias("p"), F.shiftrightunsigned(F.xxhash64("doc_id"), 56).alias("cell")).collect()}
     spots = sharding.ring(5, 8, 8)
     home = lambda c: max([a for a, (at, _) in enumerate(spots) if at <= c], default=len(spots) - 1)
     first = spots[0][0]

@@ -24,6 +24,8 @@ from .common import held_out
 ORDER = 3
 #: Bytes that are scored at once.
 BLOCK = 1 << 19
+#: Texts of a language that has only very long ones which are learned.
+LONG_ONES = 8
 LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
 
 
@@ -159,21 +161,27 @@ def code_lengths(trees: Trees, texts: list[str]) -> np.ndarray:
 
 
 def sample(labelled: DataFrame, per_language: int, longest: int) -> dict[str, list[str]]:
-    """Up to ``per_language`` texts of each language, those of smallest hashed id, of texts of up to ``longest`` characters.
+    """Up to ``per_language`` texts of each language, those of smallest hash, of texts of up to ``longest`` characters; of a
+    language that has only longer ones, up to LONG_ONES of these.
 
-    labelled: doc_id, text, lang without nulls in the last two. Only sampled rows reach the driver.
+    labelled: doc_id, text, lang without nulls in the last two. Only sampled rows reach the driver, at most twice as many and 100 a language.
+    Rows that share an id and a text count once.
     """
-    labelled = labelled.where((F.length("text") <= longest) & F.col("text").rlike("\\S"))
-    n = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not n:
+    labelled = labelled.where(F.col("text").rlike("\\S")).withColumn("long", F.length("text") > longest)
+    n = {(r[0], r[1]): r[2] for r in labelled.groupBy("lang", "long").agg(F.count("*").alias("n")).collect()}
+    want = {k: LONG_ONES if k[1] else per_language for k in n if not k[1] or (k[0], False) not in n}
+    if not want:
         return {}
-    rank, below = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), F.lit(None)
-    for lang, count in n.items():
-        below = F.when(F.col("lang") == lang, F.lit(int((1 << 30) * min(1, 1.5 * per_language / count)))).otherwise(below)
-    found: dict[str, list] = {k: [] for k in n}
-    for r in labelled.where(rank < below).select("lang", rank.alias("rank"), "text").collect():
+    rank, share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)), F.lit(None).cast("double")
+    for (lang, long), count in want.items():
+        share = F.when((F.col("lang") == lang) & (F.col("long") == long), F.lit(min(1.0, (1.5 * count + 50) / n[lang, long]))).otherwise(share)
+    some = labelled.withColumns({"rank": rank, "share": share}).where(F.col("rank") < F.col("share") * (1 << 30))
+    some = some.select("lang", "share", "rank", "text").distinct().orderBy(F.col("rank") / F.col("share")).limit(sum(2 * x + 100 for x in want.values()))
+    found: dict[str, list] = {lang: [] for lang, _ in want}
+    for r in some.collect():
         found[r.lang].append((r.rank, r.text))
-    return {k: [t for _, t in sorted(x)[:per_language]] for k, x in found.items() if x}
+    most = {lang: count for (lang, _), count in want.items()}
+    return {k: [t for _, t in sorted(x)[: most[k]]] for k, x in found.items() if x}
 
 
 def predict(docs: DataFrame, trees: Trees, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,13 +2,15 @@
 
 Texts become ids, ids become pieces of at most ``room`` tokens. What to put together follows from how many pieces
 there are of each length, at most ``room`` numbers: taking the lengths from the longest down, the gap that a piece
-leaves is looked up among the single lengths, then the sums of pairs, then of triples, and a combination that
-fills it exactly is used as often as its lengths are available; what finds no exact partner is packed best fit.
+leaves is looked up in an index of single lengths, then, from the longest down again, in one of the sums of pairs, then
+of triples, and a combination that fills it exactly is used as often as its lengths are available; what finds no exact
+partner is packed best fit.
 The plan says where the k-th piece of each length goes; k comes from counts of small cells of pieces.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -42,7 +44,7 @@ class Words:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.as_char = self.tokenizer.model, byte_characters()
         self.pieces, self.words = Memo(self._piece), Memo(self._word)
 
@@ -51,7 +53,7 @@ class Words:
         return np.array([t.id for t in found], "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        if self.SIMPLE.match(word):
+        if self.SIMPLE.match(word) and not any(x in word for x in self.special):
             return b"".join(map(self.pieces.__getitem__, self.PIECE.findall(word.lower())))
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -93,62 +95,77 @@ def pieces(docs: DataFrame, vocabulary: str, room: int = 2048, end: int = 0, doc
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, PIECE)
 
 
+class Sums:
+    """The sums of one, two and three lengths that are there, and by sum the ways to it, the most even first, as
+    very short lengths are what fills the last gaps. Counts in ``left`` only ever fall, so a way that has run out is passed
+    by for good."""
+
+    def __init__(self, left: list[int], room: int):
+        self.left, self.at, there = left, [0] * (room + 1), np.array(left) > 0
+        self.pairs: list[list[int]] = [[], []]
+        for total in range(2, room + 1):
+            first = np.arange((total + 1) // 2, total)
+            self.pairs.append(first[there[first] & there[total - first]].tolist())
+
+    def available(self, parts: tuple[int, ...]) -> bool:
+        return all(self.left[p] >= parts.count(p) for p in parts)
+
+    def one(self, gap: int, own: tuple[int, ...]) -> tuple[int, ...] | None:
+        return (gap,) if gap > 0 and self.available((*own, gap)) else None
+
+    def two(self, gap: int, own: tuple[int, ...], longest: int | None = None) -> tuple[int, ...] | None:
+        """Two lengths, none above longest, that add up to gap and are there beside own."""
+        if gap < 2:
+            return None
+        ways, at = self.pairs[gap], self.at[gap]
+        while at < len(ways) and not self.available((ways[at], gap - ways[at])):
+            at += 1
+        self.at[gap] = at
+        for first in itertools.islice(ways, at, None):
+            if longest is not None and first > longest:
+                break
+            if self.available((*own, first, gap - first)):
+                return first, gap - first
+        return None
+
+    def three(self, gap: int, own: tuple[int, ...]) -> tuple[int, ...] | None:
+        for first in range((gap + 2) // 3, gap - 1):
+            if self.left[first] > own.count(first) and (rest := self.two(gap - first, (*own, first), first)):
+                return first, *rest
+        return None
+
+
 def combinations(counts: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths that go together, how often), so that every piece is in one sequence.
 
-    Gaps are filled by single lengths; by pairs too; by triples too. The plan with the fewest sequences is taken.
+    Gaps are filled by singles, pairs and triples. Where lengths are few and far between, fillings of many short pieces
+    can leave long ones without any, so the plans without triples, and without pairs, are made too; the one with the
+    fewest sequences is taken, and among equals that with all.
     """
     return min((fill(counts, room, most) for most in (3, 2, 1)), key=lambda plan: sum(times for _, times in plan))
 
 
 def fill(counts: dict[int, int], room: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     """The plan whose gaps are filled by up to ``most`` lengths exactly, the rest best fit."""
-    left = np.zeros(room + 1, np.int64)
+    left = [0] * (room + 1)
     for length, n in counts.items():
         left[length] = n
     out: list[tuple[tuple[int, ...], int]] = []
 
-    def use(parts: tuple[int, ...]) -> bool:
-        """Uses the combination as often as it can; whether it could."""
-        need: dict[int, int] = {}
+    def use(parts: tuple[int, ...]) -> None:
+        """Uses the combination as often as its lengths are there."""
+        times = min(left[p] // parts.count(p) for p in parts)
+        out.append((parts, times))
         for p in parts:
-            need[p] = need.get(p, 0) + 1
-        times = min(int(left[p]) // k for p, k in need.items())
-        if times:
-            out.append((parts, times))
-            for p, k in need.items():
-                left[p] -= times * k
-        return bool(times)
-
-    def filling(gap: int, longest: int, parts: int) -> tuple[int, ...] | None:
-        """Available lengths, none above the one before, that add up to gap."""
-        if parts == 1:
-            return (gap,) if gap <= longest and left[gap] else None
-        if parts == 2:
-            top = min(longest, gap - 1)
-            first = np.arange(top, (gap - 1) // 2, -1)
-            fits = np.flatnonzero((left[first] > 0) & (left[gap - first] > (first * 2 == gap)))
-            return (int(first[fits[0]]), int(gap - first[fits[0]])) if len(fits) else None
-        for first in np.flatnonzero(left[: min(longest, gap - 2) + 1])[::-1]:
-            if first * 3 < gap:
-                return None
-            left[first] -= 1
-            rest = filling(gap - int(first), int(first), 2)
-            left[first] += 1
-            if rest:
-                return int(first), *rest
-        return None
-
-    for length in range(room, 0, -1):
-        if length == room and left[room]:
-            use((room,))
-        for parts in range(1, most + 1):
-            while left[length]:
-                left[length] -= 1
-                found = filling(room - length, min(length, room - length), parts) if room - length >= parts else None
-                left[length] += 1
-                if not found or not use((length, *found)):
-                    break
+            left[p] -= times
+
+    if left[room]:
+        use((room,))
+    sums = Sums(left, room)
+    for find in (sums.one, sums.two, sums.three)[:most]:
+        for length in range(room - 1, 0, -1):
+            while left[length] and (found := find(room - length, (length,))):
+                use((length, *found))
     bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     gaps: list[int] = []
 
@@ -160,7 +177,7 @@ def fill(counts: dict[int, int], room: int, most: int) -> list[tuple[tuple[int,
         bins[gap].append((parts, times))
 
     for length in range(room, 0, -1):
-        n = int(left[length])
+        n = left[length]
         while n:
             if (at := bisect_left(gaps, length)) < len(gaps):
                 gap = gaps[at]

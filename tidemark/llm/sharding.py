@@ -3,8 +3,9 @@
 The ring has 2**bits cells; every shard owns some of them, its virtual nodes, and each virtual node answers for
 the cells up to the next one. A key belongs to the cell of its hash. Loads are bounded exactly: the capacities add
 up to the number of rows and differ by one at most, and keys that find a shard full go on clockwise, one virtual
-node at a time. Keys of one cell that come after each other in hash order are alike to this rule, so it is settled
-from the counts of the cells alone; these are as many as the ring has cells, whatever the number of rows.
+node at a time. Keys of one cell, which stand in a fixed order of their own, are alike to this rule, so it is settled
+from the counts of the cells alone; these are as many as the ring has cells, whatever the number of rows. The order
+within a cell is by a hash of the text's size and CRC first, so rows of one id, or without any, are counted in parts.
 """
 
 from __future__ import annotations
@@ -80,6 +81,8 @@ def settle(counts: dict[int, int], shards: int, nodes: int, bits: int) -> list[t
     return out
 
 
+#: Parts of a cell that are counted apart.
+PARTS = 256
 PLAN = T.StructType([T.StructField(n, T.LongType()) for n in ("cell", "first", "end", "shard", "base")])
 
 
@@ -104,9 +107,13 @@ def shard(docs: DataFrame, shards: int = 24, nodes: int = 128, bits: int = 14, d
         (F.octet_length(body).cast("long") + 8).alias("size"),
         F.crc32(body).alias("text_crc32"),
     )
-    alike = rows.groupBy("cell", "position", "doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
-    before = Window.partitionBy("cell").orderBy("position", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = alike.withColumn("start", F.coalesce(F.sum("copies").over(before), F.lit(0)))
+    part = F.pmod(F.xxhash64("size", "text_crc32"), F.lit(PARTS)).alias("part")
+    key = ["cell", "part"]
+    alike = rows.groupBy("cell", part, "position", "doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
+    before = Window.partitionBy(*key).orderBy("position", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy("cell", part).agg(F.count("*").alias("n")).select(*key, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
+    ranked = alike.withColumn("within", F.coalesce(F.sum("copies").over(before), F.lit(0))).join(ahead, key).withColumn("start", F.col("ahead") + F.col("within"))
     each = ranked.withColumn("rank", F.explode(F.sequence("start", F.col("start") + F.col("copies") - 1)))
     here = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))
     return each.join(F.broadcast(plan), "cell").where(here).select(
