@@ -1,8 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, near-duplicate groups, personal data, packing.
 
 Each stage takes what its predecessor kept, written as Parquet and read again, and returns the documents that it keeps
-with the columns of ``documents``; the last returns their packed pieces. Stages that drop documents number the rows
-first and decide by that number, as ids may be null or repeat.
+with the columns of ``documents``; the last returns their packed pieces. Stages decide by rows, looked at each on its own
+or numbered first, as ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -20,10 +20,7 @@ CONFIDENCE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language. Rejected: no text, no letter, or no language more likely than the others together."""
-    rows = keyed(docs)
-    found = materialize(langid.predict(rows, langid.learned(rows), "_row").withColumnRenamed("doc_id", "_row"), "languages")
-    gone = found.where((F.col("lang_pred") == "und") | (F.col("score") < CONFIDENCE)).select("_row")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    return langid.keep(docs, langid.learned(docs), CONFIDENCE)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -184,6 +184,19 @@ def sample(labelled: DataFrame, per_language: int, longest: int) -> dict[str, li
     return {k: [t for _, t in sorted(x)[: most[k]]] for k, x in found.items() if x}
 
 
+def decide(trees: Trees, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each text of a column."""
+    texts = [t or "" for t in column.to_pylist()]
+    lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+    rows = [i for i, t in enumerate(texts) if has_letter(t)] if trees.languages else []
+    if rows:
+        bits = code_lengths(trees, [texts[i] for i in rows])
+        more = bits - bits.min(1, keepdims=True)
+        lang[rows] = np.array(trees.languages, object)[bits.argmin(1)]
+        score[rows] = 1 / np.exp2(-np.minimum(more, 1000)).sum(1)
+    return lang, score
+
+
 def predict(docs: DataFrame, trees: Trees, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score: the language with the shortest code, and its share of the probability of all.
 
@@ -193,23 +206,27 @@ def predict(docs: DataFrame, trees: Trees, doc_id: str = "doc_id", text: str = "
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-            rows = [i for i, t in enumerate(texts) if has_letter(t)] if trees.languages else []
-            if rows:
-                bits = code_lengths(trees, [texts[i] for i in rows])
-                best = bits.argmin(1)
-                more = bits - bits.min(1, keepdims=True)
-                lang[rows] = np.array(trees.languages, object)[best]
-                score[rows] = 1 / np.exp2(-np.minimum(more, 1000)).sum(1)
+            lang, score = decide(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     columns = [docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")]
     return docs.select(*columns).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep(docs: DataFrame, trees: Trees, confidence: float, text: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, that have a language, and one with this score at least. Rows are looked at each on
+    its own, whatever their ids."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(trees), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, score = decide(shared.value, batch.column(place))
+            yield batch.filter(pa.array((lang != "und") & (score >= confidence)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learned(docs: DataFrame, per_language: int = 400, longest: int = 50_000) -> Trees:
     """Trees of the languages of docs (doc_id, text, lang), from rows whose crc32 of the id, modulo 3, is not 1 and that have
     a lang, at most ``per_language`` of each."""
