@@ -233,3 +233,62 @@ def test_queries_match_sql(spark):
         names = [x[0] for x in cursor.description]
         theirs = sorted(tuple(text(dict(zip(names, r))[c]) for c in columns) for r in cursor.fetchall())
         assert mine == theirs, name
+
+
+def test_checked_rows_fail_whatever_is_read_of_them(spark, orders, tmp_path):
+    checked = security.checked_for(orders, "a")
+    for act in (lambda: checked.select("tenant_id").collect(), checked.count, lambda: checked.write.parquet(f"{tmp_path}/checked")):
+        with pytest.raises(Exception, match="violates"):
+            act()
+    own = orders.where("tenant_id = 'a'")
+    assert security.checked_for(own, "a").count() == own.count() > 0
+
+
+def test_an_unknown_policy_shows_nothing(spark, orders):
+    orders.write.saveAsTable("guarded")
+    assert security.read_as(spark, "guarded", "a").count() == orders.count()
+    security.create_policy("guarded", security.owner_or_shared)
+    assert security.policy_of(spark, "guarded") == "owner_or_shared"
+    spark.sql(f"ALTER TABLE guarded SET TBLPROPERTIES ('{security.PROPERTY}' = 'of another session')")
+    assert security.read_as(spark, "guarded", "a").count() == 0
+
+
+def test_json_that_closes_what_is_around_it(spark):
+    texts = ['"a"],["b"', '1},{"x":2', '1,"end":true}', "1,null", "1]", '{"v":1},"end":true', " [1, 2] ", "null", '{"a": {"b": []}}', "{}{}", "[1][2]", '"]"', '"}"']
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", contract.is_json(F.col("t")).alias("ok")).collect()
+    assert [texts[r.i] for r in rows if r.ok] == [" [1, 2] ", "null", '{"a": {"b": []}}', '"]"', '"}"']
+
+
+def test_a_commit_between_look_and_move_is_not_lost(table, spark, monkeypatch):
+    """Another writer commits after the first has looked at the branch's number."""
+    base, number = table.head(), VersionedTable._number
+    other = VersionedTable(spark, table.root, "day")
+    done = []
+
+    def late(self, branch):
+        found = number(self, branch)
+        if self is table and branch == "main" and not done:
+            done.append(1)
+            other.append(spark.range(5).select("id", F.lit("7").alias("day")))
+        return found
+
+    monkeypatch.setattr(VersionedTable, "_number", late)
+    with pytest.raises(Conflict):
+        table.move("main", base, base)
+    assert done and table.read().count() == 205
+
+
+def test_nothing_is_garbage_without_branches(table):
+    table.drop_branch("main")
+    with pytest.raises(RuntimeError, match="no branch"):
+        table.garbage(0)
+
+
+def test_a_task_over_its_time_is_stopped(spark):
+    import time
+
+    began = time.monotonic()
+    with pytest.raises(tasks.TaskFailed, match="TimeoutError"):
+        tasks.run_flow(spark, [tasks.Task("slow", lambda s, _: s.range(1 << 40).selectExpr("sum(hash(id))").collect(), seconds=1)])
+    assert time.monotonic() - began < 30
+    assert spark.range(10).count() == 10

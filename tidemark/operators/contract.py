@@ -41,9 +41,11 @@ def missing_keys(docs: DataFrame, required: Sequence[str] = REQUIRED, key: str =
 
 def is_json(text: Column) -> Column:
     """Whether a text is there, not empty and one valid JSON value. As the parser stops at the end of a value, what follows
-    shows only inside a list, which then is none or has a second element."""
+    must show inside something: a value alone goes on to the end of a list and of an object around it, while a text that
+    closes the list early can't close the object, and the other way round."""
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = listed.isNotNull() & F.try_variant_get(listed, "$[1]", "string").isNull()
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(',"end":true}')))
+    alone = listed.isNotNull() & F.try_variant_get(listed, "$[1]", "string").isNull() & F.coalesce(F.try_variant_get(named, "$.end", "boolean"), F.lit(False))
     return text.isNotNull() & (F.trim(text) != "") & F.try_parse_json(text).isNotNull() & alone
 
 

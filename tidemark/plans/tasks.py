@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from collections.abc import Callable, Sequence
@@ -39,12 +40,15 @@ class TaskFailed(Exception):
 
 def run_flow(spark: SparkSession, tasks: Sequence[Task]) -> list[Outcome]:
     """Runs tasks in order. Each one's cleanup runs whatever happens; after an error no further task runs and TaskFailed
-    carries the outcomes so far. Jobs of a task that is over its time are cancelled."""
+    carries the outcomes so far. When a task's time is over, its Spark jobs are cancelled, and it may start no others."""
     done: list[Outcome] = []
     given: dict = {}
     for task in tasks:
         run_id, began = f"{task.name}-{uuid.uuid4().hex[:8]}", time.monotonic()
         spark.sparkContext.setJobGroup(run_id, task.name, interruptOnCancel=True)
+        limit = threading.Timer(task.seconds, spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs, [run_id])
+        limit.daemon = True
+        limit.start()
         try:
             out = given[task.name] = task.run(spark, given)
             rows = out.collect() if task.fetch and isinstance(out, DataFrame) else []
@@ -54,9 +58,13 @@ def run_flow(spark: SparkSession, tasks: Sequence[Task]) -> list[Outcome]:
             done.append(Outcome(task.name, run_id, "success", seconds, rows))
         except Exception as e:
             spark.sparkContext.cancelJobGroup(run_id)
-            done.append(Outcome(task.name, run_id, "failed", time.monotonic() - began, error=f"{type(e).__name__}: {e}"))
+            seconds = time.monotonic() - began
+            late = f"TimeoutError: stopped after {task.seconds} s" if seconds > task.seconds else f"{type(e).__name__}: {e}"
+            done.append(Outcome(task.name, run_id, "failed", seconds, error=late))
             raise TaskFailed(done) from e
         finally:
+            limit.cancel()
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
             if task.cleanup:
                 task.cleanup(spark)
     return done

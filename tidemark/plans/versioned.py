@@ -1,18 +1,21 @@
 """Versioned Parquet tables: snapshots, branches, scoped compaction, validation, merge, collection.
 
 Layout under a root: ``data/`` holds Parquet files that are never changed, ``log/<snapshot>/`` the list of a snapshot's files
-(partition, path, rows, bytes), ``snapshots/`` one row for each snapshot, ``refs/<branch>`` the snapshot that a branch
-points to. A branch moves only from the snapshot that its writer started from; the move is a rename over the file, atomic
-on local disks and HDFS. A store without atomic rename needs a catalog service in its place.
+(partition, path, rows, bytes), ``snapshots/`` one row for each snapshot, ``refs/<branch>/<number>`` the snapshots that a
+branch has pointed to, the highest number the present one. A branch moves only from the snapshot that its writer
+started from: the next number can be taken once, by a rename that never overwrites (HDFS) or a hard link (local disks).
+A store with neither needs a catalog service in its place.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,7 +47,14 @@ class VersionedTable:
         fs, path = self._fs()
         if not fs.exists(path(f"{self.root}/refs")):
             return {}
-        return {s.getPath().getName(): self._text(s.getPath()) for s in fs.listStatus(path(f"{self.root}/refs")) if not s.getPath().getName().startswith(".")}
+        names = [s.getPath().getName() for s in fs.listStatus(path(f"{self.root}/refs")) if s.isDirectory()]
+        return {n: self._text(path(f"{self.root}/refs/{n}/{number:012d}")) for n in names if (number := self._number(n))}
+
+    def _number(self, branch: str) -> int:
+        """How often the branch has moved; 0 if there is none."""
+        fs, path = self._fs()
+        place = path(f"{self.root}/refs/{branch}")
+        return max([int(s.getPath().getName()) for s in fs.listStatus(place) if s.getPath().getName().isdigit()], default=0) if fs.exists(place) else 0
 
     def _text(self, path) -> str:
         stream = self._fs()[0].open(path)
@@ -54,22 +64,37 @@ class VersionedTable:
             stream.close()
 
     def head(self, branch: str = "main") -> str | None:
-        return self.branches().get(branch)
+        number = self._number(branch)
+        return self._text(self._fs()[1](f"{self.root}/refs/{branch}/{number:012d}")) if number else None
 
     def move(self, branch: str, expected: str | None, snapshot: str) -> None:
-        """Points a branch to a snapshot if it still points to the expected one."""
+        """Points a branch to a snapshot if it still points to the expected one, or raises Conflict."""
         fs, path = self._fs()
-        if self.head(branch) != expected:
-            raise Conflict(f"{branch} points to {self.head(branch)}, not to {expected}")
-        new, ref = path(f"{self.root}/refs/.{uuid.uuid4().hex}"), path(f"{self.root}/refs/{branch}")
-        stream = fs.create(new, True)
+        number = self._number(branch)
+        now = self._text(path(f"{self.root}/refs/{branch}/{number:012d}")) if number else None
+        if now != expected:
+            raise Conflict(f"{branch} points to {now}, not to {expected}")
+        new, ref = path(f"{self.root}/refs/.{uuid.uuid4().hex}"), path(f"{self.root}/refs/{branch}/{number + 1:012d}")
+        fs.mkdirs(ref.getParent())
+        stream = fs.create(new, False)
         stream.write(bytearray(snapshot.encode()))
         stream.close()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = rename
-        context.rename(new, ref, options)
+        try:
+            if fs.getUri().getScheme() == "file":
+                os.link(new.toUri().getPath(), ref.toUri().getPath())
+            else:
+                jvm = self.spark._jvm.org.apache.hadoop.fs
+                once = self.spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+                once[0] = jvm.Options.Rename.NONE
+                jvm.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(new, ref, once)
+        except FileExistsError as e:
+            raise Conflict(f"{branch} has moved from {expected}") from e
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise Conflict(f"{branch} has moved from {expected}") from e
+            raise
+        finally:
+            fs.delete(new, False)
 
     def branch(self, name: str, source: str = "main") -> str:
         head = self.head(source)
@@ -78,7 +103,7 @@ class VersionedTable:
 
     def drop_branch(self, name: str) -> None:
         fs, path = self._fs()
-        fs.delete(path(f"{self.root}/refs/{name}"), False)
+        fs.delete(path(f"{self.root}/refs/{name}"), True)
 
     # Reading.
 
@@ -133,11 +158,12 @@ class VersionedTable:
             place = self._write(df)
         return self.commit(self.files(parent).unionByName(place), branch, parent, "append")
 
-    def _split(self, df: DataFrame, files: int | None = None) -> DataFrame:
-        """Files by partition: written below key=value folders, with the column kept in the files too."""
-        place, key = f"data/{uuid.uuid4().hex}", "_part"
-        df.withColumn(key, F.col(self.partition).cast("string")).write.partitionBy(key).parquet(f"{self.root}/{place}")
-        found = self.spark.read.parquet(f"{self.root}/{place}").select(F.col(self.partition).cast("string").alias("partition"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+    def _split(self, df: DataFrame, key: str = "_part") -> DataFrame:
+        """Files by partition, or by a column that isn't kept: written below key=value folders."""
+        place = f"data/{uuid.uuid4().hex}"
+        by = F.col(self.partition).cast("string") if self.partition else F.lit(None).cast("string")
+        (df if key in df.columns else df.withColumn(key, by)).write.partitionBy(key).parquet(f"{self.root}/{place}")
+        found = self.spark.read.parquet(f"{self.root}/{place}").select(by.alias("partition"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
         each = found.groupBy("partition", "path").agg(F.count("*").alias("rows"), F.max("size").alias("bytes"))
         return each.select("partition", F.concat(F.lit(place), F.substring_index("path", place, -1)).alias("path"), "rows", "bytes")
 
@@ -158,36 +184,30 @@ class VersionedTable:
         return measures.bins(chosen, target)
 
     def compact(self, branch: str = "main", **planned) -> dict:
-        """Rewrites what plan() names: on a branch of its own, a commit for each partition (partial progress), then compares all
-        rows with those before and moves ``branch`` there if it has not moved meanwhile. Other files stay as they are; on
-        any failure ``branch`` stays as it was."""
+        """Rewrites what plan() names, one file for each bin, all in one job; compares the rows of the files that it replaces
+        with those of the new ones, and commits where ``branch`` has not moved meanwhile. Other files are neither read nor
+        changed; on any failure ``branch`` stays as it was."""
         before = self.head(branch)
-        groups: dict[str, list[str]] = {}
-        for r in self.plan(branch, **planned).groupBy("partition").agg(F.sort_array(F.collect_list(F.struct("bin", "path"))).alias("files")).orderBy("partition").collect():
-            bins: dict[int, list[str]] = {}
-            for f in r["files"]:
-                bins.setdefault(f["bin"], []).append(f["path"])
-            groups[r["partition"]] = [names for names in bins.values() if len(names) > 1]
-        work = f"compact-{uuid.uuid4().hex[:8]}"
-        self.move(work, None, before)
-        rewritten = 0
-        try:
-            for bins_ in groups.values():
-                parent = self.head(work)
-                kept = self.files(parent).where(~F.col("path").isin([p for names in bins_ for p in names])) if bins_ else self.files(parent)
-                for names in bins_:
-                    kept = kept.unionByName(self._write(self.spark.read.parquet(*(f"{self.root}/{p}" for p in names)).coalesce(1)))
-                    rewritten += len(names)
-                if bins_:
-                    self.commit(kept, work, parent, "replace")
-            after = self.head(work)
-            if before != after and not inventory.same_rows(self.read(snapshot=before), self.read(snapshot=after)):
-                raise ValueError("rows differ after compaction")
-            if before != after:
-                self.move(branch, before, after)
-        finally:
-            self.drop_branch(work)
-        return {"before": before, "after": after, "partitions": len(groups), "files_rewritten": rewritten}
+        planned_files = self.plan(branch, **planned)
+        several = planned_files.groupBy("partition", "bin").agg(F.count("*").alias("files")).where("files > 1").drop("files")
+        chosen = planned_files.join(several, ["partition", "bin"]).collect()  # the files of n partitions at most, as plan() bounds
+        numbers = {k: i for i, k in enumerate(sorted({(r.partition, r.bin) for r in chosen}, key=str))}
+        rows = {r.path: numbers[r.partition, r.bin] for r in chosen}
+        partitions = planned_files.select("partition").distinct().count()
+        if not rows:
+            return {"before": before, "after": before, "partitions": partitions, "files_rewritten": 0}
+        old = self.spark.read.parquet(*(f"{self.root}/{p}" for p in rows))
+        place = self.root.removeprefix("file://").rstrip("/") + "/"
+        bins = self.spark.createDataFrame(list(rows.items()), "_path string, _bin int")
+        named = old.withColumn("_path", F.substring_index("_metadata.file_path", place, -1)).join(F.broadcast(bins), "_path").drop("_path")
+        files = self._split(named.repartition("_bin").sortWithinPartitions("_bin"), "_bin")
+        files = self.spark.createDataFrame(files.collect(), FILES)
+        new = self.spark.read.parquet(*(f"{self.root}/{r.path}" for r in files.collect()))
+        if not inventory.same_rows(old, new):
+            raise ValueError("rows differ after compaction")
+        kept = self.files(before).join(F.broadcast(bins.select(F.col("_path").alias("path"))), "path", "left_anti").select(*FILES.names)
+        after = self.commit(kept.unionByName(files), branch, before, "replace")
+        return {"before": before, "after": after, "partitions": partitions, "files_rewritten": len(rows)}
 
     def rewrite_log(self, branch: str = "main") -> str:
         """A snapshot with the same files whose list is one file in order."""
@@ -198,6 +218,8 @@ class VersionedTable:
         """path of each stored file that no branch's history within the grace period and no branch's head refers to. Files
         younger than the grace period are left alone: a writer may be about to commit them."""
         heads = list(set(self.branches().values()))
+        if not heads:
+            raise RuntimeError("no branch can be read, so nothing is known to be garbage")
         now = time.time()
         live = self.snapshots().where(F.col("snapshot_id").isin(heads) | (F.col("committed_at") > now - grace_seconds)).select("snapshot_id").collect()
         reachable = None

@@ -231,10 +231,10 @@ def compact_effects(spark, sf_dir):
     return spark.createDataFrame([row], "compacted int, fewer_files boolean, same_rows boolean, collected boolean")
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_id % 3 = 0")
+@query("SELECT event_id, event_type FROM events")
 def branch_merge(spark, sf_dir):
     """Rows added on a branch are in main once it moved there."""
-    rows = read(spark, sf_dir, "events").select("event_id", "event_type").where("event_id % 3 = 0")
+    rows = read(spark, sf_dir, "events").select("event_id", "event_type")
     table = VersionedTable(spark, scratch(spark, "branches"))
     table.append(rows.where("event_id % 2 = 0"))
     base = table.branch("work")
@@ -294,26 +294,27 @@ def set_difference(spark, sf_dir):
     return inventory.others(read(spark, sf_dir, "region").select(F.col("r_name").alias("name")), spark.createDataFrame([("ASIA",)], "name string"))
 
 
-@query("""SELECT 't' || (event_id % 3) AS "table", event_id AS snapshot_id, event_id % 100 AS total_records, event_id % 4 AS manifests_created, event_id % 4 = 0 AS without_data FROM events WHERE event_id < 200""")
+@query("""SELECT 't' || (event_id % 3) AS "table", event_id AS snapshot_id, event_id % 100 AS total_records, event_id % 4 AS manifests_created, event_id % 4 = 0 AS without_data FROM events""")
 def snapshot_totals(spark, sf_dir):
     """Totals of snapshots in table documents, and commits without data."""
-    docs = read(spark, sf_dir, "events").where("event_id < 200").select(
+    docs = read(spark, sf_dir, "events").select(
         F.concat(F.lit("t"), (F.col("event_id") % 3).cast("string")).alias("table"),
         F.format_string('{"snapshots":[{"snapshot-id":%d,"summary":{"total-records":"%d","manifests-created":"%d"}}]}', "event_id", F.col("event_id") % 100, F.col("event_id") % 4).alias("document"),
     )
     return metadata.snapshots(docs).select("table", "snapshot_id", "total_records", "manifests_created", "without_data")
 
 
-@query("""SELECT 'model.p.m' || p_partkey AS unique_id, 's.m' || p_partkey AS "table", p_size AS file_count FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 5 <> 0 AND p_partkey <= 200""")
+@query("""SELECT 'model.p.m' || p_partkey AS unique_id, 's.m' || p_partkey AS "table", p_size AS file_count FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 5 <> 0""")
 def models_to_compact(spark, sf_dir):
-    """Opted-in models that the last run built, with their tables' health, from the documents of a transformation tool."""
-    part = read(spark, sf_dir, "part").where("p_partkey <= 200")
+    """Opted-in models that the last run built, with their tables' health, from a transformation tool's documents of 100 models each."""
+    part = read(spark, sf_dir, "part")
     key = F.col("p_partkey")
     node = F.struct(F.concat(F.lit("m"), key.cast("string")).alias("name"), F.lit("s").alias("schema"), F.struct((key % 2 == 0).alias("compaction")).alias("meta"))
     name = F.concat(F.lit("model.p.m"), key.cast("string"))
-    manifest = part.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(name, node))).alias("nodes"))).alias("document"))
+    project = part.groupBy(F.floor(key / 100).alias("project"))
+    manifest = project.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(name, node))).alias("nodes"))).alias("document"))
     result = F.struct(name.alias("unique_id"), F.when(key % 5 == 0, "error").otherwise("success").alias("status"))
-    results = part.agg(F.to_json(F.struct(F.collect_list(result).alias("results"))).alias("document"))
+    results = project.agg(F.to_json(F.struct(F.collect_list(result).alias("results"))).alias("document"))
     rows = part.select(F.concat(F.lit("s.m"), key.cast("string")).alias("table"), F.col("p_size").alias("file_count"))
     return inventory.to_compact(metadata.models(manifest), metadata.run_results(results), rows).select("unique_id", "table", "file_count")
 
@@ -356,10 +357,12 @@ def json_sum(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
 
 
-@query("SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS picked FROM orders WHERE o_custkey <= 100 GROUP BY o_custkey")
+@query("SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS picked FROM orders GROUP BY o_custkey")
 def pick_struct(spark, sf_dir):
+    """Of each customer's latest order in each status, the one in status F; the lists are as long as there are statuses."""
+    latest = read(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.max("o_orderkey").alias("o_orderkey"))
     items = F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus")), asc=False)
-    each = read(spark, sf_dir, "orders").where("o_custkey <= 100").groupBy("o_custkey").agg(items.alias("items"))
+    each = latest.groupBy("o_custkey").agg(items.alias("items"))
     return each.select("o_custkey", contract.pick(F.col("items"), "o_orderstatus", "F")["o_orderkey"].alias("picked"))
 
 
