@@ -10,6 +10,7 @@ from tidemark.functions import scalars
 from tidemark.operators import contract, health, inventory, security, timeseries
 from tidemark.plans import flows, planner, tasks
 from tidemark.plans.versioned import Conflict, VersionedTable
+from tidemark.session import scratch
 from tidemark.sources import metadata, tables
 from tidemark.streaming import ingest
 
@@ -292,3 +293,48 @@ def test_a_task_over_its_time_is_stopped(spark):
         tasks.run_flow(spark, [tasks.Task("slow", lambda s, _: s.range(1 << 40).selectExpr("sum(hash(id))").collect(), seconds=1)])
     assert time.monotonic() - began < 30
     assert spark.range(10).count() == 10
+
+
+def test_rates_of_a_range_are_those_of_its_instants(spark):
+    rows = [("cpu", {"pod": "a"}, f"2024-01-01 00:{m:02d}:{s:02d}", float(v)) for m, s, v in [(0, 0, 1), (0, 30, 4), (1, 0, 2), (1, 0, 2), (4, 0, 9), (4, 59, 3), (9, 0, 5)]]
+    rows += [("cpu", {"pod": "b"}, "2024-01-01 00:02:00", 7.0)]
+    made = spark.createDataFrame(rows, "metric string, labels map<string, string>, ts string, value double")
+    made = made.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("pod", F.col("labels")["pod"])
+    found = {(r.pod, str(r.tick)): r.rate for r in timeseries.rate_range(made, ["pod"], "2024-01-01 00:00:30", "2024-01-01 00:10:30", 60, 180).collect()}
+    want = {}
+    for m in range(11):
+        tick = f"2024-01-01 00:{m:02d}:30"
+        want |= {(r.pod, tick): r.rate for r in timeseries.rate(made, ["pod"], tick, 180).collect()}
+    assert found == pytest.approx(want) and len(want) > 5
+    assert timeseries.rate_range(made.limit(0), ["pod"], "2024-01-01 00:00:00", "2024-01-01 01:00:00", 60, 180).count() == 0
+
+
+def test_advice_rewrites_what_the_plan_names(spark, table, tmp_path):
+    other = VersionedTable(spark, f"file://{tmp_path}/other", "day")
+    other.append_fragmented(spark.range(40).select("id", F.lit("0").alias("day")), 4)
+    lake = {"s.a": table, "s.b": other}
+    manifest = spark.createDataFrame([('{"nodes":{"m.a":{"name":"a","schema":"s","meta":{"compaction":true}},"m.b":{"name":"b","schema":"s","meta":{"compaction":true}}}}',)], "document string")
+    results = spark.createDataFrame([('{"results":[{"unique_id":"m.a","status":"success"},{"unique_id":"m.b","status":"error"}]}',)], "document string")
+    audit, head = f"file://{tmp_path}/audit", other.head()
+    preset = planner.Preset(partitions=2)
+    assert planner.advise(lake, manifest, results, audit, preset=preset, dry=True)["s.a"]["files_planned"] > 0
+    before = {r.partition: r.file_count for r in table.health().collect()}
+    assert list(planner.advise(lake, manifest, results, audit, preset=preset)) == ["s.a"]
+    after = {r.partition: r.file_count for r in table.health().collect()}
+    assert sum(after[k] < before[k] for k in before) == 2 and table.read().count() == 200
+    assert other.head() == head and planner.advise({}, manifest, results, audit) == {}
+    quota = planner.Preset(quota_bytes=0)
+    assert planner.advise({"s.a": table}, manifest, results, audit, preset=quota) == {}
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Fake:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://a:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        scratch(Fake, "x")

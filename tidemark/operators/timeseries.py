@@ -40,6 +40,28 @@ def rate(samples: DataFrame, series: Sequence[str], at: str, seconds: int) -> Da
     return increase(samples, series, at, seconds).select(*series, (F.col("increase") / float(seconds)).alias("rate"))
 
 
+def rate_range(samples: DataFrame, series: Sequence[str], start: str, end: str, step: int, seconds: int) -> DataFrame:
+    """series…, tick, rate: rate() at each of the times from start to end that are ``step`` seconds apart, as a panel shows it.
+
+    The step from one sample to the next counts at all times whose range holds both, so each sample is looked at once,
+    after one shuffle by series, however far the ranges overlap. A series has no row at times whose range holds fewer than
+    two of its samples.
+    """
+    first, last = (F.unix_micros(F.lit(x).cast("timestamp_ntz").cast("timestamp")) for x in (start, end))
+    ts, width, reach = F.unix_micros(F.col("ts").cast("timestamp")), F.lit(step * 1_000_000), F.lit(seconds * 1_000_000)
+    w = Window.partitionBy(*series).orderBy("ts")
+    known = samples.withColumns({"_ts": ts, "_ts_before": F.lag(ts).over(w), "_before": F.lag("value").over(w)})
+    known = known.where(F.col("_ts_before").isNotNull() & (F.col("_ts") <= last) & (F.col("_ts_before") + reach > first))
+    # Times at _ts or later, whose range began before the sample before.
+    low = F.greatest(F.lit(0), F.ceil((F.col("_ts") - first) / width)).cast("long")
+    high = F.least(F.floor((last - first) / width), F.ceil((F.col("_ts_before") + reach - first) / width) - 1).cast("long")
+    grown = F.when(F.col("value") < F.col("_before"), F.col("value")).otherwise(F.col("value") - F.col("_before"))
+    each = known.withColumns({"_low": low, "_high": high, "_grown": grown}).where("_low <= _high")
+    each = each.select(*series, "_grown", F.explode(F.sequence("_low", "_high")).alias("_k"))
+    tick = F.timestamp_micros(first + F.col("_k") * width).cast("timestamp_ntz")
+    return each.groupBy(*series, "_k").agg(F.sum("_grown").alias("_sum")).select(*series, tick.alias("tick"), (F.col("_sum") / float(seconds)).alias("rate"))
+
+
 def rate_sum_by(samples: DataFrame, series: Sequence[str], by: str, at: str, seconds: int) -> DataFrame:
     return rate(samples, series, at, seconds).groupBy(by).agg(F.sum("rate").alias("rate"))
 

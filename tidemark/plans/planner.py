@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -35,7 +37,7 @@ def plan(manifest: DataFrame, results: DataFrame, health_rows: DataFrame, allowe
     """
     rows = inventory.to_compact(metadata.models(manifest), metadata.run_results(results), health_rows)
     if allowed is not None:
-        rows = rows.join(allowed.select("table").distinct(), "table", "left_semi")
+        rows = health.allowed(rows, allowed, "table")
     rows = health.scored(rows, preset.target, preset.least_files, preset.threshold).where("eligible")
     place = F.row_number().over(Window.partitionBy("table").orderBy(F.desc("score"), F.desc("file_count"), "partition"))
     rows = rows.withColumn("place", place).where(F.col("place") <= preset.partitions)
@@ -55,9 +57,9 @@ def only_one(spark: SparkSession, root: str):
         fs.delete(path, False)
 
 
-def run(table: VersionedTable, name: str, audit: str, preset: Preset = PRESETS["default"], dry: bool = False) -> dict:
-    """Compacts one table under its lock and logs what was done; a dry run only logs the plan's size."""
-    settings = dict(target=preset.target, n=preset.partitions, least_files=preset.least_files, threshold=preset.threshold)
+def run(table: VersionedTable, name: str, audit: str, preset: Preset = PRESETS["default"], dry: bool = False, only: Sequence[str] | None = None) -> dict:
+    """Compacts one table, or some partitions of it, under its lock and logs what was done; a dry run only logs the plan's size."""
+    settings = dict(target=preset.target, n=preset.partitions, least_files=preset.least_files, threshold=preset.threshold, only=only)
     with only_one(table.spark, table.root):
         if dry:
             found = table.plan(**settings).agg(F.count("*").alias("files"), F.countDistinct("partition").alias("partitions")).first()
@@ -68,3 +70,26 @@ def run(table: VersionedTable, name: str, audit: str, preset: Preset = PRESETS["
     kind = "run_id string, table string, operation string, before string, after string, partitions long, files_rewritten long"
     tables.log(table.spark.createDataFrame([row], kind), audit)
     return out
+
+
+def advise(
+    lake: Mapping[str, VersionedTable],
+    manifest: DataFrame,
+    results: DataFrame,
+    audit: str,
+    allowed: DataFrame | None = None,
+    preset: Preset = PRESETS["default"],
+    dry: bool = False,
+) -> dict[str, dict]:
+    """From the last run of transformations to compacted tables: plan() over the health of all tables of the lake, then
+    run() on the partitions that it names. By table, what run() tells; tables that the plan leaves out aren't touched.
+
+    What reaches the driver are names of partitions, at most ``preset.partitions`` of a table.
+    """
+    if not lake:
+        return {}
+    rows = functools.reduce(DataFrame.unionByName, (t.health().withColumn("table", F.lit(name)) for name, t in lake.items()))
+    chosen: dict[str, list[str]] = {}
+    for r in plan(manifest, results, rows, allowed, preset).orderBy("table", "place").collect():
+        chosen.setdefault(r.table, []).append(r.partition)
+    return {name: run(lake[name], name, audit, preset, dry, partitions) for name, partitions in chosen.items()}

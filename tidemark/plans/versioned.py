@@ -13,6 +13,7 @@ import json
 import os
 import time
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -177,9 +178,13 @@ class VersionedTable:
     def health(self, branch: str = "main") -> DataFrame:
         return measures.health(self.files(self.head(branch)))
 
-    def plan(self, branch: str = "main", target: int = 128 * measures.MB, n: int = 100, least_files: int = 2, threshold: float = 0.5) -> DataFrame:
-        """partition, path, bytes, bin: what a compaction would rewrite, without doing it. The worst n partitions."""
-        worst = measures.worst(measures.scored(self.health(branch), target, least_files, threshold), n)
+    def plan(
+        self, branch: str = "main", target: int = 128 * measures.MB, n: int = 100, least_files: int = 2, threshold: float = 0.5, only: Sequence[str] | None = None
+    ) -> DataFrame:
+        """partition, path, bytes, bin: what a compaction would rewrite, without doing it. The worst n partitions, of those
+        that ``only`` names if it is given."""
+        scored = measures.scored(self.health(branch), target, least_files, threshold)
+        worst = measures.worst(scored if only is None else measures.only_partitions(scored, "partition", only), n)
         chosen = self.files(self.head(branch)).join(F.broadcast(worst.select("partition")), "partition", "left_semi")
         return measures.bins(chosen, target)
 

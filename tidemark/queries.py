@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import scalars
 from tidemark.operators import contract, health, inventory, security, timeseries
-from tidemark.plans import flows
+from tidemark.plans import flows, planner
 from tidemark.plans.versioned import VersionedTable
 from tidemark.session import scratch
 from tidemark.sources import metadata, tables
@@ -177,6 +179,39 @@ def scoped_partitions(spark, sf_dir):
     return health.only_partitions(table, "day", ["2024-01-03", "2024-01-07"]).groupBy("day").agg(F.count("*").alias("n"))
 
 
+@query("SELECT 'day=' || strftime(ts, '%Y-%m-%d') AS folder FROM events GROUP BY 1")
+def object_folders(spark, sf_dir):
+    """Folders that hold data files, from a listing of stored objects."""
+    path = scratch(spark, "objects")
+    metadata.fragment(read(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day")), path, 2, "day")
+    return metadata.objects(spark, path, "day=").select(F.substring_index("key", "/", 1).alias("folder")).distinct()
+
+
+@query("SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys, count(DISTINCT c_mktsegment) AS segments FROM customer")
+def staged_copy(spark, sf_dir):
+    """Customers staged as CSV and copied into a table of a schema of its own, which is listed and goes afterwards."""
+    rows, staged, schema = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), scratch(spark, "staged"), "staged_" + scratch(spark, "x").rsplit("-", 1)[1]
+    rows.write.option("header", "true").csv(staged)
+    tables.create_schema(spark, schema)
+    try:
+        tables.create_table(spark, schema, "customer", rows.schema)
+        tables.copy_in(spark, staged, schema, "customer", "csv", header="true")
+        if metadata.namespaces(spark).where(F.col("namespace") == schema).count() != 1:
+            raise ValueError(schema)
+        found = spark.table(tables.quoted(schema, "customer")).agg(F.count("*").alias("n"), F.sum("c_custkey").cast("long").alias("keys"), F.count_distinct("c_mktsegment").alias("segments"))
+        return spark.createDataFrame(found.collect(), found.schema)
+    finally:
+        spark.sql(f"DROP SCHEMA IF EXISTS {tables.quoted(schema)} CASCADE")
+
+
+@query("SELECT '[' || string_agg('\"' || n_name || '\"', ',' ORDER BY n_name) || ']' AS tenants FROM nation")
+def document_round_trip(spark, sf_dir):
+    """A JSON document written and read again as a whole."""
+    path = scratch(spark, "document")
+    metadata.write_document(metadata.tenants(read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))).coalesce(1), path)
+    return metadata.document(spark, path).select(F.get_json_object("document", "$.tenants").alias("tenants")).where("tenants IS NOT NULL")
+
+
 @query("SELECT strftime(ts, '%Y-%m-%d') AS \"partition\", count(*) AS \"rows\" FROM events GROUP BY 1")
 def physical_files(spark, sf_dir):
     """Rows by partition as file metadata of a written table tell."""
@@ -212,7 +247,8 @@ def compact_table(spark, sf_dir):
     return table.read().groupBy("day").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
 
 
-@query("SELECT 3 AS compacted, true AS fewer_files, true AS same_rows, true AS collected")
+@query("""SELECT CAST(least(3, count(DISTINCT strftime(ts, '%Y-%m-%d'))) AS INTEGER) AS compacted, count(*) AS rows_kept, count(*) AS rows_after,
+  true AS fewer_files, true AS same_rows, true AS collected FROM events""")
 def compact_effects(spark, sf_dir):
     """What a compaction of three days and a collection of unreachable files change."""
     table = fragmented(spark, sf_dir)
@@ -227,8 +263,35 @@ def compact_effects(spark, sf_dir):
     table.drop_branch("kept")
     gone = table.collect_garbage(0)
     changed = sum(after[k] < before[k] for k in before)
-    row = (changed, sum(after.values()) < sum(before.values()), same, gone > 0 and kept == table.read().count())
-    return spark.createDataFrame([row], "compacted int, fewer_files boolean, same_rows boolean, collected boolean")
+    row = (changed, kept, table.read().count(), sum(after.values()) < sum(before.values()), same, gone > 0)
+    return spark.createDataFrame([row], "compacted int, rows_kept long, rows_after long, fewer_files boolean, same_rows boolean, collected boolean")
+
+
+@query("""SELECT 'lake.events' AS "table", count(DISTINCT strftime(ts, '%Y-%m-%d')) AS partitions, count(*) AS "rows" FROM events
+  UNION ALL SELECT 'lake.prices', 0, count(*) FROM events""")
+def advised_compaction(spark, sf_dir):
+    """The loop from the last run to compacted tables: two tables as fragmented, of which one has opted in. Partitions that
+    the audit log says were rewritten, and rows afterwards, by table."""
+    lake = {f"lake.{name}": fragmented(spark, sf_dir) for name in ("events", "prices")}
+    manifest = {f"model.{n}": {"name": n, "schema": "lake", "meta": {"compaction": n == "events"}} for n in ("events", "prices")}
+    results = [{"unique_id": n, "status": "success"} for n in manifest]
+    one = lambda **d: spark.createDataFrame([(json.dumps(d),)], "document string")
+    audit = scratch(spark, "audit")
+    planner.advise(lake, one(nodes=manifest), one(results=results), audit, spark.createDataFrame([(k,) for k in lake], "table string"))
+    rows = functools.reduce(DataFrame.unionByName, (t.read().groupBy().agg(F.count("*").alias("rows")).withColumn("table", F.lit(name)) for name, t in lake.items()))
+    done = spark.read.parquet(audit).where("operation = 'compact'").groupBy("table").agg(F.sum("partitions").alias("partitions"))
+    return rows.join(done, "table", "left").select("table", F.coalesce("partitions", F.lit(0)).alias("partitions"), "rows")
+
+
+@query("SELECT event_id, event_type FROM events")
+def log_rewrite(spark, sf_dir):
+    """Rows of two commits after the list of files was rewritten."""
+    rows = read(spark, sf_dir, "events").select("event_id", "event_type")
+    table = VersionedTable(spark, scratch(spark, "log"))
+    table.append(rows.where("event_id % 3 = 0"))
+    table.append(rows.where("event_id % 3 <> 0"))
+    table.rewrite_log()
+    return table.read()
 
 
 @query("SELECT event_id, event_type FROM events")
@@ -451,6 +514,20 @@ def rate_sum_by(spark, sf_dir):
     return timeseries.rate_sum_by(samples(spark, sf_dir), ["pod", "user_id"], "pod", AT, RANGE).withColumn("rate", F.round("rate", 8))
 
 
+FROM, STEP, SPAN = "2024-01-10 00:00:00", 6 * 3600, 36 * 3600
+
+
+@query(f"""WITH s AS (SELECT user_id, ts, max(value) AS value FROM events GROUP BY ALL),
+  g AS (SELECT unnest(generate_series(TIMESTAMP '{FROM}', TIMESTAMP '{AT}', INTERVAL {STEP} SECOND)) AS tick),
+  d AS (SELECT user_id, tick, value, lag(value) OVER (PARTITION BY user_id, tick ORDER BY ts) AS before FROM s JOIN g ON ts <= tick AND ts > tick - INTERVAL {SPAN} SECOND),
+  i AS (SELECT user_id, tick, sum(CASE WHEN value < before THEN value ELSE value - before END) AS increase FROM d GROUP BY ALL HAVING count(*) >= 2)
+  SELECT 'p' || (user_id % 10) AS pod, tick, round(sum(increase / {SPAN}.0), 8) AS rate FROM i GROUP BY ALL""")
+def rate_panel(spark, sf_dir):
+    """The rate by pod at each step of a range of time."""
+    each = timeseries.rate_range(samples(spark, sf_dir), ["pod", "user_id"], FROM, AT, STEP, SPAN)
+    return each.groupBy("pod", "tick").agg(F.round(F.sum("rate"), 8).alias("rate"))
+
+
 @query(f"WITH {SAMPLES}, l AS (SELECT pod, user_id, arg_max(value, ts) AS value FROM m GROUP BY pod, user_id) SELECT pod, round(sum(value), 4) AS value FROM l GROUP BY pod")
 def gauge_sum_by(spark, sf_dir):
     return timeseries.gauge_sum_by(samples(spark, sf_dir), ["pod", "user_id"], "pod", AT, RANGE).withColumn("value", F.round("value", 4))
@@ -470,6 +547,13 @@ def stream_ingest(spark, sf_dir):
     return spark.read.schema(events.schema).parquet(target).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL""")
+def windowed_counts(spark, sf_dir):
+    """The aggregation of the stream by tumbling windows, over a whole table."""
+    found = ingest.windowed(read(spark, sf_dir, "events"))
+    return found.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
 # What Spark SQL gives without code of ours: joins, grouping, windows, set operations.
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -17,6 +18,10 @@ SETTINGS = {
 }
 
 
+#: Paths that scratch() gave, deleted when the process ends.
+_given: list[tuple[SparkSession, str]] = []
+
+
 def session(name: str = "tidemark", master: str | None = None, warehouse: str | None = None, **more: str) -> SparkSession:
     """A session; master and further settings only where they are given, as a cluster sets its own."""
     builder = SparkSession.builder.appName(name).config(map=SETTINGS | more)
@@ -28,7 +33,21 @@ def session(name: str = "tidemark", master: str | None = None, warehouse: str |
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share, as spark.checkpoint.dir names it; a local one only where
-    the session names none, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share, as spark.checkpoint.dir names it; what is there goes when the
+    process ends. A session that names no folder gets a local one if it runs on this machine alone, else an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{(shared or 'file://' + tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _given.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _given:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended already
+            return
