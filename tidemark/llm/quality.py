@@ -139,7 +139,8 @@ def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, labels: DataFrame, most: int = 4000, longest: int = 50_000) -> Attention:
     """Fits the network to at most ``most`` labelled documents, those of smallest hashed id, of up to ``longest`` characters.
 
-    labels: doc_id, label (0 or 1); of several labels of an id the largest holds. Without labels every score is 0.5.
+    labels: doc_id, label (0 or 1); of several labels of an id the largest holds, of several texts
+    the first in their order. Without labels every score is 0.5.
     """
     labels = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
@@ -147,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 4000, longest: int = 5
     picked = labels.where(rank < int((1 << 30) * min(1, 1.5 * most / max(1, n)))).orderBy(rank, "doc_id").limit(most)
     texts = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= longest).select("doc_id", "text")
     # picked has at most ``most`` rows of two numbers
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"]).collect()
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     model = Attention()
     if rows:
         rows.sort(key=lambda r: r.doc_id)
