@@ -338,3 +338,13 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(ValueError):
         scratch(Fake, "x")
+
+
+def test_same_rows_counts_repeated_rows(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "a string, `b.c` double")
+    one, nan = ("x", 1.0), (None, float("nan"))
+    assert inventory.same_rows(rows(one, one, nan), rows(nan, one, one))
+    assert inventory.same_rows(rows(one), rows(one).select("`b.c`", "a"))
+    assert not inventory.same_rows(rows(one, one, nan), rows(one, nan, nan))
+    assert not inventory.same_rows(rows(one), rows(one).withColumnRenamed("a", "d"))
+    assert inventory.same_rows(rows(), rows()) and not inventory.same_rows(rows(), rows(one))

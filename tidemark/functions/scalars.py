@@ -52,7 +52,3 @@ def short_name(base: str = "task") -> Column:
 def exit_code(statuses: Column, name: str) -> Column:
     """The exit code of the named container among statuses (name, state.terminated.exitCode); -1 where there is none."""
     return F.coalesce(F.get(F.filter(statuses, lambda s: s["name"] == name), F.lit(0))["state"]["terminated"]["exitCode"], F.lit(-1))
-
-
-def table_of(branch: Column, warehouse: Column) -> Column:
-    return F.url_encode(F.concat_ws("|", branch, warehouse))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources import tables
+
 
 def drift(catalog: DataFrame, stored: DataFrame) -> DataFrame:
     """path, status of each path (path, bytes) on either side: ok, missing (not stored), size_mismatch or orphan (not
@@ -36,15 +38,12 @@ def to_compact(models: DataFrame, results: DataFrame, health: DataFrame) -> Data
     return health.join(built.select("unique_id", F.concat_ws(".", "schema", "name").alias("table")), "table")
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """One row: row_count and a hash of all rows that does not depend on their order."""
-    whole = F.xxhash64(*df.columns).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("row_count"), F.coalesce(F.sum(whole), F.lit(0).cast("decimal(38,0)")).alias("digest"))
-
-
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two tables hold the same rows, each as often: exact, and independent of order."""
+    """Whether two tables hold the same rows, each as often: exact, independent of order, and one shuffle of both, as equal
+    rows are counted against each other before and after it."""
     if sorted(a.columns) != sorted(b.columns):
         return False
-    b = b.select(*a.columns)
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    names = [tables.quoted(c) for c in a.columns]
+    sign = "_" + max(a.columns, key=len, default="")  # no column's name is as long
+    signed = a.select(*names, F.lit(1).alias(sign)).unionByName(b.select(*names, F.lit(-1).alias(sign)))
+    return signed.groupBy(*names).agg(F.sum(tables.quoted(sign)).alias(sign)).where(F.col(tables.quoted(sign)) != 0).isEmpty()

@@ -20,6 +20,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidemark.operators import health as measures
 from tidemark.operators import inventory
@@ -131,7 +132,7 @@ class VersionedTable:
         place = f"data/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{place}")
         by = F.col(self.partition).cast("string") if self.partition else F.lit(None).cast("string")
-        found = self.spark.read.parquet(f"{self.root}/{place}").select(by.alias("partition"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("size"))
+        found = self.spark.read.schema(df.schema).parquet(f"{self.root}/{place}").select(by.alias("partition"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("size"))
         each = found.groupBy("name", "partition").agg(F.count("*").alias("rows"), F.max("size").alias("bytes"))
         return each.select("partition", F.concat(F.lit(place + "/"), "name").alias("path"), "rows", "bytes")
 
@@ -163,8 +164,10 @@ class VersionedTable:
         """Files by partition, or by a column that isn't kept: written below key=value folders."""
         place = f"data/{uuid.uuid4().hex}"
         by = F.col(self.partition).cast("string") if self.partition else F.lit(None).cast("string")
-        (df if key in df.columns else df.withColumn(key, by)).write.partitionBy(key).parquet(f"{self.root}/{place}")
-        found = self.spark.read.parquet(f"{self.root}/{place}").select(by.alias("partition"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+        df = df if key in df.columns else df.withColumn(key, by)
+        df.write.partitionBy(key).parquet(f"{self.root}/{place}")
+        found = self.spark.read.schema(df.drop(key).schema).parquet(f"{self.root}/{place}")
+        found = found.select(by.alias("partition"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
         each = found.groupBy("partition", "path").agg(F.count("*").alias("rows"), F.max("size").alias("bytes"))
         return each.select("partition", F.concat(F.lit(place), F.substring_index("path", place, -1)).alias("path"), "rows", "bytes")
 
@@ -193,12 +196,12 @@ class VersionedTable:
         with those of the new ones, and commits where ``branch`` has not moved meanwhile. Other files are neither read nor
         changed; on any failure ``branch`` stays as it was."""
         before = self.head(branch)
-        planned_files = self.plan(branch, **planned)
-        several = planned_files.groupBy("partition", "bin").agg(F.count("*").alias("files")).where("files > 1").drop("files")
-        chosen = planned_files.join(several, ["partition", "bin"]).collect()  # the files of n partitions at most, as plan() bounds
+        beside = F.count("*").over(Window.partitionBy("partition", "bin"))
+        planned_files = self.plan(branch, **planned).withColumn("beside", beside).collect()  # of n partitions at most
+        chosen = [r for r in planned_files if r.beside > 1]
         numbers = {k: i for i, k in enumerate(sorted({(r.partition, r.bin) for r in chosen}, key=str))}
         rows = {r.path: numbers[r.partition, r.bin] for r in chosen}
-        partitions = planned_files.select("partition").distinct().count()
+        partitions = len({r.partition for r in planned_files})
         if not rows:
             return {"before": before, "after": before, "partitions": partitions, "files_rewritten": 0}
         old = self.spark.read.parquet(*(f"{self.root}/{p}" for p in rows))
@@ -206,8 +209,9 @@ class VersionedTable:
         bins = self.spark.createDataFrame(list(rows.items()), "_path string, _bin int")
         named = old.withColumn("_path", F.substring_index("_metadata.file_path", place, -1)).join(F.broadcast(bins), "_path").drop("_path")
         files = self._split(named.repartition("_bin").sortWithinPartitions("_bin"), "_bin")
-        files = self.spark.createDataFrame(files.collect(), FILES)
-        new = self.spark.read.parquet(*(f"{self.root}/{r.path}" for r in files.collect()))
+        written = files.collect()  # one for each bin
+        files = self.spark.createDataFrame(written, FILES)
+        new = self.spark.read.schema(old.schema).parquet(*(f"{self.root}/{r.path}" for r in written))
         if not inventory.same_rows(old, new):
             raise ValueError("rows differ after compaction")
         kept = self.files(before).join(F.broadcast(bins.select(F.col("_path").alias("path"))), "path", "left_anti").select(*FILES.names)

@@ -114,6 +114,31 @@ def rls_checked_write(spark, sf_dir):
     return security.checked_for(rows, "tenant-1").select("o_orderkey", "tenant_id")
 
 
+@query(f"""WITH {ORDERS} SELECT tenant_id, count(*) AS n, count(*) FILTER (o_orderkey % 2 = 1) AS made_ids, CAST(sum(len(shared_with)) AS BIGINT) AS shares, count(*) AS timed
+  FROM o WHERE tenant_id = 'tenant-2' OR list_contains(shared_with, 'tenant-2') GROUP BY tenant_id""")
+def tenant_table(spark, sf_dir):
+    """A table with a policy in a tenant's own schema: rows appended without ids, shares and times get them, and are read as
+    a tenant. The schema goes afterwards. (S9, S10, S10a, X3)"""
+    schema = tables.create_tenant_schema(spark, "t-" + scratch(spark, "x").rsplit("-", 1)[1])
+    try:
+        tables.create_table(spark, schema, "shared_orders", tables.SHARED_ORDERS)
+        given = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string"))
+        shared = F.when(F.size("shared_with") > 0, F.col("shared_with"))
+        rows = shared_orders(spark, sf_dir).select(given.alias("id"), "tenant_id", shared.alias("shared_with"), F.col("o_totalprice").cast("string").alias("payload"))
+        tables.append(tables.with_defaults(rows), schema, "shared_orders")
+        name = tables.quoted(schema, "shared_orders")
+        security.create_policy(name)
+        seen = security.read_as(spark, name, "tenant-2").groupBy("tenant_id").agg(
+            F.count("*").alias("n"),
+            F.count_distinct(F.when(F.length("id") == 36, F.col("id"))).alias("made_ids"),
+            F.sum(F.size("shared_with")).cast("long").alias("shares"),
+            F.count("created_at").alias("timed"),
+        )
+        return spark.createDataFrame(seen.collect(), seen.schema)
+    finally:
+        spark.sql(f"DROP SCHEMA IF EXISTS {tables.quoted(schema)} CASCADE")
+
+
 @query("SELECT c_custkey, 'tenant-' || (c_custkey % 20) || '/part-' || c_custkey AS key FROM customer WHERE c_custkey % 20 = 1")
 def prefix_scope(spark, sf_dir):
     key = F.concat(F.lit("tenant-"), (F.col("c_custkey") % 20).cast("string"), F.lit("/part-"), F.col("c_custkey").cast("string"))
@@ -220,6 +245,35 @@ def physical_files(spark, sf_dir):
     return metadata.files(spark, path, "day").groupBy("partition").agg(F.sum("rows").alias("rows"))
 
 
+@query("SELECT CAST(sum(octet_length(encode(c_name)) + 1) AS BIGINT) AS bytes, true AS same_size, CAST(0 AS BIGINT) AS absent FROM customer")
+def object_sizes(spark, sf_dir):
+    """The bytes of all objects that names were written to, one object's size looked up by its key, and a key that isn't there."""
+    path = scratch(spark, "sizes")
+    read(spark, sf_dir, "customer").select("c_name").write.text(path)
+    found = metadata.objects(spark, path)
+    first = found.orderBy("key").first()
+    one, absent = metadata.stat(spark, path, first["key"]).first(), metadata.stat(spark, path, first["key"] + "x").count()
+    return found.agg(F.sum("bytes").alias("bytes")).select("bytes", F.lit(one["bytes"] == first["bytes"]).alias("same_size"), F.lit(absent).cast("long").alias("absent"))
+
+
+@query("SELECT event_type AS operation, count(*) AS n, count(*) AS logged FROM events GROUP BY event_type")
+def audit_log(spark, sf_dir):
+    """A log written in two appends."""
+    rows, path = read(spark, sf_dir, "events").select(F.col("event_type").alias("operation"), "event_id"), scratch(spark, "log")
+    for part in (0, 1):
+        tables.log(rows.where(F.col("event_id") % 2 == part), path)
+    return spark.read.parquet(path).groupBy("operation").agg(F.count("*").alias("n"), F.count("logged_at").alias("logged"))
+
+
+@query("SELECT c_custkey, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1")
+def allow_list(spark, sf_dir):
+    """Rows whose name is on an allow-list that holds each name twice."""
+    nation = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name"), "n_regionkey")
+    listed = nation.where("n_regionkey = 1").select("name")
+    rows = read(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "name")
+    return health.allowed(rows, listed.unionByName(listed))
+
+
 @query("SELECT event_type AS \"table\", count(*) AS runs, CAST(sum(event_id % 10) AS BIGINT) AS files, CAST(sum(event_id) AS BIGINT) AS bytes, round(sum(value), 6) AS seconds FROM events GROUP BY event_type")
 def run_costs(spark, sf_dir):
     runs = read(spark, sf_dir, "events").select(F.col("event_type").alias("table"), (F.col("event_id") % 10).alias("files"), F.col("event_id").alias("bytes"), F.col("value").alias("seconds"))
@@ -283,6 +337,17 @@ def advised_compaction(spark, sf_dir):
     return rows.join(done, "table", "left").select("table", F.coalesce("partitions", F.lit(0)).alias("partitions"), "rows")
 
 
+@query("""SELECT 'dry-run' AS operation, count(DISTINCT strftime(ts, '%Y-%m-%d')) AS partitions, CAST(0 AS BIGINT) AS files_rewritten, true AS unchanged,
+  count(*) AS "rows" FROM events""")
+def dry_run(spark, sf_dir):
+    """What a dry run of compaction logs; the table stays at its snapshot."""
+    table, audit = fragmented(spark, sf_dir), scratch(spark, "audit")
+    before = table.head()
+    planner.run(table, "lake.events", audit, planner.PRESETS["thorough"], dry=True)
+    logged = spark.read.parquet(audit).select("operation", "partitions", "files_rewritten", (F.col("before").eqNullSafe(F.col("after")) & F.lit(table.head() == before)).alias("unchanged"))
+    return logged.withColumn("rows", F.lit(table.read().count()).cast("long"))
+
+
 @query("SELECT event_id, event_type FROM events")
 def log_rewrite(spark, sf_dir):
     """Rows of two commits after the list of files was rewritten."""
@@ -465,6 +530,7 @@ def enum_check(spark, sf_dir):
 
 @query("""SELECT c_custkey, replace(c_name, '#', '_') AS replaced, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits, c_custkey // 1024 AS mb,
   CASE WHEN c_custkey % 2 = 0 THEN c_name || chr(10) ELSE '' END || c_mktsegment AS joined, 'oidc.example/' || c_custkey AS host,
+  replace(c_mktsegment || '-' || c_custkey, '-', '_') AS underscored, true AS named,
   CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey % 100 AS INTEGER) ELSE -1 END AS exit_code, base64(encode('{"a":' || c_custkey || '}')) AS packed FROM customer""")
 def scalar_functions(spark, sf_dir):
     key = F.col("c_custkey")
@@ -477,6 +543,8 @@ def scalar_functions(spark, sf_dir):
         scalars.kb_to_mb(key).alias("mb"),
         scalars.joined_lines(F.array(F.when(key % 2 == 0, F.col("c_name")).otherwise(""), F.lit(None), F.col("c_mktsegment"))).alias("joined"),
         scalars.without_scheme(F.concat(F.lit("https://oidc.example/"), key.cast("string"))).alias("host"),
+        scalars.underscored(F.concat_ws("-", "c_mktsegment", key)).alias("underscored"),
+        scalars.short_name().rlike("^task-[0-9a-f]{8}$").alias("named"),
         scalars.exit_code(status, "main").alias("exit_code"),
         scalars.to_base64_json(F.struct(key.alias("a"))).alias("packed"),
     )
