@@ -1,9 +1,11 @@
 """Groups of near copies: the join against brute force, and how many pairs it looks at."""
 
+import collections
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import hashing, jaccard_join
@@ -81,6 +83,28 @@ def test_candidates_grow_with_the_group(spark, monkeypatch):
         assert seen["pairs"] <= 4 * n
 
 
+def test_order_is_by_counts_of_all_documents(spark, monkeypatch):
+    """Every shingle that some documents share is known with the number of all documents that have it, however many there are."""
+    seen = {}
+    plain = jaccard_join.boundary
+    monkeypatch.setattr(jaccard_join, "boundary", lambda n, *rest: seen.update(sizes=n) or plain(n, *rest))
+    monkeypatch.setattr(jaccard_join.Join, "postings", lambda self: seen.update(join=self) or (_ for _ in ()).throw(StopAsyncIteration))
+    r = random.Random(6)
+    rows = [" ".join(r.choice("abc") for _ in range(r.randint(0, 12))) for _ in range(9000)] + ["a seldom one of six words"] * 4
+    with pytest.raises(StopAsyncIteration):
+        jaccard_join.link(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3))
+    sets = []
+    for x in rows:
+        w = x.split()
+        sets.append({" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    df, sizes = collections.Counter(x for s in sets for x in s), collections.Counter(map(len, sets))
+    every = sorted(df)
+    h = np.concatenate([jaccard_join.shingles(buffer, at, 5)[1] for _, _, buffer, at in hashing.blocks(pa.array(every))])
+    assert jaccard_join.weights(h, *seen["join"].frequent).tolist() == [df[x] if df[x] > 2 else 0 for x in every]
+    assert {k: int(v) for k, v in enumerate(seen["sizes"]) if v} == sizes
+    assert seen["join"].hot == len(rows) // 200
+
+
 def test_word_hashes_tell_patterns_apart():
     """Words of a sequence that doubles by its complement: hashes that are polynomials modulo 2**64 can't tell them apart."""
     a = "a"

@@ -4,9 +4,9 @@ Documents with equal shingle sets form one class, a node. Nodes whose Jaccard si
 linked, by one of two ways. Small sets list all their subsets of the size that an overlap must have: sets that share
 one are linked. Large sets enter inverted lists under the shingles of a prefix that any partner must share one of;
 a common shingle further on, or sizes too far apart, rule a pair out in the list. The boundary between small and
-large is where a sample says that work is least. Shingles frequent in the sample are heavy: they come last in every
-set's order, so they are in few prefixes, and their lists are merged by joins that Spark can split, while lists of
-light shingles are read in one sorted pass.
+large is where the sizes of all sets say that work is least. Shingles that many of all documents have come last in
+every set's order, so they are in few prefixes; lists of the most frequent ones, the heavy, are merged by joins that
+Spark can split, while lists of light shingles are read in one sorted pass.
 
 Of a group of near copies not all pairs are looked at. First each node is compared with the node that its lists take
 for the most central one; links found join components, and from then on only pairs across components matter. A list
@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,10 +102,9 @@ def subset_cost(n: int, small: int, t: int) -> int:
     return sum(math.comb(n, overlap(min(n, m), max(n, m), t)) for m in range(1, small + 1) if overlap(min(n, m), max(n, m), t) <= min(n, m))
 
 
-def boundary(sizes: np.ndarray, t: int, most: int = 16, pair: int = 12) -> int:
-    """The largest size that counts as small: where the sample's rows are fewest. ``pair`` is what a row of an inverted
-    list costs, with the pairs that come of it, in rows of subsets; sizes above ``most`` aren't tried."""
-    n = np.bincount(np.minimum(sizes, most + 1), minlength=most + 2)
+def boundary(n: np.ndarray, t: int, most: int = 16, pair: int = 12) -> int:
+    """The largest size that counts as small: where rows are fewest. n: the sets of each size. ``pair`` is what a row of an
+    inverted list costs, with the pairs that come of it, in rows of subsets; sizes above ``most`` aren't tried."""
     listed = lambda k: pair * int(prefix(np.array(k), t))
     costs = [
         sum(int(n[k]) * (subset_cost(k, x, t) if k <= x else listed(k)) + (int(n[k]) * listed(k) if k <= x and 100 * k >= t * (x + 1) else 0) for k in range(1, most + 1))
@@ -134,6 +134,14 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
+#: Bits of a shingle's hash that it is counted by, as its name; shingles that share them count together. 32 are sent, the rest is the part.
+NAME = 46
+#: Names that are sorted at once.
+RUN = 1 << 21
+#: Names of fewer documents than that are not told apart.
+LEAST = 3
+#: Sizes that are counted; larger ones count as the last.
+SIZES = 101
 #: From this size on 16 bits of a shingle tell too little.
 BRIEF = 4096
 POSTING = "token long, node long, n int, pos int, heavy boolean, doc_id long, check long"
@@ -143,47 +151,92 @@ POSTING_NAMES = ["token", "node", "n", "pos", "heavy", "doc_id", "check"]
 class Join:
     """The join of one table. t: percent; words: of a shingle."""
 
-    def __init__(self, docs: DataFrame, t: int, words: int, sampled: int, most_heavy: int, most_sent: int):
+    def __init__(self, docs: DataFrame, t: int, words: int, most_heavy: int, most_sent: int):
         self.spark, self.t, self.words, self.most_sent = docs.sparkSession, t, words, most_sent
-        self.docs, self.sampled, self.most_heavy = docs, sampled, most_heavy
+        self.docs, self.most_heavy = docs, most_heavy
 
-    def sample(self) -> None:
-        """Heavy shingles and the boundary, from an eighth of the documents, ``sampled`` at least, those of smallest hashed id.
-        They settle the order of the work only; every document goes through it. At most ``most_heavy`` shingles are kept."""
+    def count(self) -> None:
+        """Documents by size and by shingle, of all documents, and from these the frequent shingles and the boundary.
+
+        Shingles are counted by NAME bits. Each task sorts runs of names and sends a row for each part of them, so that
+        a name costs four bytes and a frequent one is a single entry of each run. The counts settle the order of the work
+        only. The most frequent names go to all tasks, ``most_heavy`` at most and all of a count or none.
+        """
         n = self.docs.count()
         self.shared_ids = self.docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count() > 0
-        rank = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30))
-        words = self.words
+        words, schema = self.words, "part int, low binary, times binary"
+
+        def packed(name: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Sorted names, by part: the rest of each in 32 bits, and how often it was there."""
+            part, begin = np.unique(name >> 32, return_index=True)
+            edge = pa.py_buffer((np.append(begin, len(name)) * 4).astype(np.int32))
+            rest = (pa.Array.from_buffers(pa.binary(), len(part), [None, edge, pa.py_buffer(x.astype(np.uint32))]) for x in (name & 0xFFFFFFFF, times))
+            batch = pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *rest], ["part", "low", "times"])
+            for lo in range(0, batch.num_rows, 4096):
+                yield batch.slice(lo, 4096)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size, sizes = [], 0, np.zeros(SIZES, np.int64)
             for batch in batches:
-                for _, hi, buffer, at in hashing.blocks(batch.column(0), lower=True):
+                for _, _, buffer, at in hashing.blocks(batch.column(0), lower=True):
                     row, h = shingles(buffer, at, words)
-                    size = np.bincount(row, minlength=len(at) - 1)
-                    columns = [np.concatenate([h.view(np.int64), np.zeros(len(size), np.int64)]), np.concatenate([np.full(len(h), -1), size])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["token", "size"])
-
-        share = min(1, max(1 / 8, self.sampled / max(1, n)))
-        some = self.docs.where(rank < int((1 << 30) * share)).select("text")
-        counts = some.mapInArrow(run, "token long, size long").groupBy("token", F.least("size", F.lit(100)).alias("size")).agg(F.count("*").alias("df"))
-        counts = materialize(counts.where("size > 0 OR size < 0 AND df >= 3"), "sample")
-        heavy = counts.where("size < 0").orderBy(F.desc("df"), "token").limit(self.most_heavy).select("token", "df").toArrow()
-        sizes = np.repeat(*np.array(counts.where("size > 0").select("size", "df").collect() or [(1, 0)]).T)
-        token = heavy.column(0).to_numpy()
-        order = np.argsort(token)
-        self.heavy = (token[order], heavy.column(1).to_numpy()[order])
-        self.hot = max(20, int(share * n) // 200)  #: a shingle of so many sampled documents has a list of its own kind
+                    sizes += np.bincount(np.minimum(np.bincount(row, minlength=len(at) - 1), SIZES - 1), minlength=SIZES)
+                    held.append(names(h))
+                    size += len(h)
+                    if size >= RUN:
+                        yield from packed(*np.unique(np.concatenate(held), return_counts=True))
+                        held, size = [], 0
+            if size:
+                yield from packed(*np.unique(np.concatenate(held), return_counts=True))
+            some = np.flatnonzero(sizes)
+            yield from packed(some - (1 << 32), sizes[some])  # sizes are a part of their own, below all names
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows come by part; the last part of a batch may go on in the next one."""
+            name, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for batch in itertools.chain(batches, [None]):
+                if batch is not None:
+                    low, more = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).astype(np.int64) for k in (1, 2))
+                    length = pa.compute.binary_length(batch.column(1)).to_numpy() // 4
+                    name = np.concatenate([name, (np.repeat(batch.column(0).to_numpy().astype(np.int64), length) << 32) | low])
+                    times = np.concatenate([times, more])
+                if len(name):
+                    order = np.argsort(name, kind="stable")
+                    name, times = name[order], times[order]
+                    begin = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+                    name, times = name[begin], np.add.reduceat(times, begin)
+                done = len(name) if batch is None else int(np.searchsorted(name >> 32, name[-1] >> 32)) if len(name) else 0
+                tell = np.flatnonzero((times[:done] >= LEAST) | (name[:done] < 0))
+                yield pa.RecordBatch.from_arrays([pa.array(name[tell]), pa.array(times[tell])], ["name", "df"])
+                name, times = name[done:], times[done:]
+
+        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt = self.docs.select("text").mapInArrow(run, schema).repartition(parts, "part").sortWithinPartitions("part")
+        counts = materialize(dealt.mapInArrow(summed, "name long, df long"), "counts")
+        sizes = np.zeros(SIZES, np.int64)
+        for name, df in counts.where("name < 0").collect():
+            sizes[name + (1 << 32)] = df
+        least = 1 << 62
+        for df, many in itertools.accumulate(sorted(counts.where("name >= 0").groupBy("df").count().collect(), reverse=True), lambda x, y: (y[0], x[1] + y[1])):
+            if many > self.most_heavy:
+                break
+            least = df
+        frequent = counts.where((F.col("name") >= 0) & (F.col("df") >= least)).toArrow()
+        name = frequent.column(0).to_numpy()
+        order = np.argsort(name)
+        self.frequent = (name[order], frequent.column(1).to_numpy()[order])
+        self.hot = max(20, n // 200)  #: a shingle of so many documents has a list of its own kind
         self.small = boundary(sizes, self.t)
         discard(counts)
 
     def postings(self) -> DataFrame:
         """Rows of sets (pos null): node, n, doc_id, check; of inverted lists: token, node, n, pos; and of subsets, where pos
         is -1 for equal sizes, -2 for the smaller and -3 for the larger of two."""
-        shared = self.spark.sparkContext.broadcast(self.heavy)
+        shared = self.spark.sparkContext.broadcast(self.frequent)
         t, words, small, hot = self.t, self.words, self.small, self.hot
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tokens, df = shared.value
+            known, df = shared.value
             for batch in batches:
                 seen: set[int] = set()
                 for first, last, buffer, at in hashing.blocks(batch.column(1), lower=True):
@@ -194,7 +247,7 @@ class Join:
                     node = set_hashes(row, h, n, SET_A).view(np.int64)
                     check = set_hashes(other_row, other, np.bincount(other_row, minlength=last - first), SET_B).view(np.int64)
                     new = np.array([n[r] > 0 and not (x in seen or seen.add(x)) for r, x in enumerate(node.tolist())], bool)
-                    weight = weights(h, tokens, df)
+                    weight = weights(h, known, df)
                     order = np.lexsort((weight, row)) if weight.any() else np.arange(len(h))
                     h, weight = h[order], weight[order]
                     pos = np.arange(len(h)) - begin[row]
@@ -428,7 +481,7 @@ class Join:
 
     def run(self) -> DataFrame:
         t = self.t
-        self.sample()
+        self.count()
         lists = self.lists()
         members = materialize(lists.where("pos IS NULL").select("doc_id", "node", "n", "check"), "members")
         clash = F.raise_error(F.lit("two shingle sets share a hash; choose other constants"))
@@ -490,16 +543,22 @@ class Join:
         return full.unionByName(members.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def weights(h: np.ndarray, tokens: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """How often the sample had each hash; light ones weigh 0."""
-    if not len(tokens) or not len(h):
+def names(h: np.ndarray) -> np.ndarray:
+    """What each shingle is counted by."""
+    return (h >> hashing.U(64 - NAME)).view(np.int64)
+
+
+def weights(h: np.ndarray, known: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """How many documents have each shingle, by its name; those not among the frequent ones weigh 0."""
+    if not len(known) or not len(h):
         return np.zeros(len(h), np.int64)
-    k = np.minimum(np.searchsorted(tokens, h.view(np.int64)), len(tokens) - 1)
-    return np.where(tokens[k] == h.view(np.int64), df[k], 0)
+    name = names(h)
+    k = np.minimum(np.searchsorted(known, name), len(known) - 1)
+    return np.where(known[k] == name, df[k], 0)
 
 
 def link(
-    docs: DataFrame, t: int = 80, words: int = 5, sampled: int = 8000, most_heavy: int = 1 << 19, most_sent: int = 200_000, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, t: int = 80, words: int = 5, most_heavy: int = 1 << 19, most_sent: int = 200_000, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that links lead to, itself included.
 
@@ -510,4 +569,4 @@ def link(
     component that has one has no number. Other columns are not read; an empty table gives an empty table.
     """
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    return Join(docs, t, words, sampled, most_heavy, most_sent).run()
+    return Join(docs, t, words, most_heavy, most_sent).run()
